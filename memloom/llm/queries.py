@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality, secrets, wavelet
+from . import decontaminate, line_dedup, near_dedup, packing, quality, secrets, substring_dedup, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +21,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.cluster(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -43,9 +52,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_best_fit_packing, op3_quality_rules, op7_secret_scan, op8_line_dedup, op9_wavelet_token_ids, op10_decontaminate)
+    every = (op1_best_fit_packing, op2_minhash_near_dedup, op3_quality_rules, op4_substring_dedup, op7_secret_scan, op8_line_dedup, op9_wavelet_token_ids, op10_decontaminate)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_substring_dedup": substring_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
