@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality, secrets, substring_dedup, wavelet
+from . import decontaminate, line_dedup, near_dedup, packing, quality, secrets, substring_dedup, toxicity, url_filter, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -52,7 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_best_fit_packing, op2_minhash_near_dedup, op3_quality_rules, op4_substring_dedup, op7_secret_scan, op8_line_dedup, op9_wavelet_token_ids, op10_decontaminate)
+    every = (op1_best_fit_packing, op2_minhash_near_dedup, op3_quality_rules, op4_substring_dedup, op5_url_filter, op6_toxicity, op7_secret_scan, op8_line_dedup, op9_wavelet_token_ids, op10_decontaminate)
     return {f.__name__: f for f in every}
 
 
