@@ -8,15 +8,18 @@ neither composes with its neighbours nor is part of a token.
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import words
 
 #: Words whose ids a worker keeps; when there are more, it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 
 
 def default_path() -> str:
@@ -25,6 +28,45 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_LETTER, _UPPER, _BLANK, _STOP = (np.zeros(256, np.uint8) for _ in range(4))
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = 1
+_UPPER[65:91] = 32
+_BLANK[[32, 9, 10, 11, 12, 13]] = 1
+_STOP[[44, 46]] = 1
+
+
+def _simpler(texts: pa.Array) -> pa.Array:
+    """The texts with fewer distinct words and the same ids.
+
+    A-Z is folded where the next byte is ASCII too, as no combining mark follows then.  A full stop or
+    comma between an ASCII letter and a blank is a token of its own, so it becomes a word of its own.
+    Texts that may hold a special token's string stay as they are."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return texts
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if data is None or at[-1] == at[0]:
+        return texts
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    if b"<|" in raw.tobytes():
+        return texts
+    after = np.append(raw[1:], np.uint8(255))
+    ends = at[1:][at[1:] > at[:-1]] - 1  # the last byte of each text: nothing follows it
+    after[ends] = 32
+    folded = raw + _UPPER[raw] * (after < 128)
+    cut = np.flatnonzero(_STOP[raw[1:]] & _LETTER[raw[:-1]] & _BLANK[after[1:]]) + 1
+    cut = cut[~np.isin(cut, at)]  # not across two texts
+    out = np.insert(folded, cut, 32)
+    at = at + np.searchsorted(cut, at, "left")
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(at), pa.py_buffer(out)])
+
+
+def _flat(encodings: list) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(x.ids for x in encodings), np.uint32)
+
+
 class WordEncoder:
     def __init__(self, path: str, end_id: int | None = 1, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,6 +75,7 @@ class WordEncoder:
         self.tokenizer, self.end_id, self.cache_words = Tokenizer.from_file(path), end_id, cache_words
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.ends = self._ends()
+        self.ascii = self._ascii_words(path)
         self._clear()
 
     def _ends(self) -> np.ndarray | None:
@@ -44,71 +87,89 @@ class WordEncoder:
         ends[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
         return ends
 
+    def _ascii_words(self, path: str):
+        """The same model for words of a-z alone, without what leaves them as they are: normalising them and
+        looking for pieces in them.  None unless runs of letters are pieces and letters stand for themselves."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        config = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        steps = config.get("pretokenizers", [config])
+        if self.ends is None or [x.get("type") for x in steps] != ["Split", "ByteLevel"] or "[\\p{L}]+" not in str(steps[0]["pattern"].get("Regex")) or steps[1]["add_prefix_space"]:
+            return None
+        plain = Tokenizer.from_file(path)
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        return plain
+
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         end = [] if self.end_id is None else [self.end_id]
-        self.flat, self.used = np.array(end, np.uint32), len(end)
-        self.start, self.length, self.n = np.array([0]), np.array([len(end)]), 1  # entry 0: the end id
+        self.flat, self.used = np.zeros(1 << 21, np.uint32), len(end)
+        self.flat[: len(end)] = end
+        self.start, self.length, self.n = np.zeros(self.cache_words + 1, np.int32), np.zeros(self.cache_words + 1, np.int32), 1
+        self.length[0] = len(end)  # entry 0: the end id
 
-    def _lookup(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the stems and their numbers of ids.
+    def _groups(self, new: list[bytes]):
+        """The new words by how they are encoded: words, their flat ids, their numbers of ids.
 
         Words of letters alone are one piece each, and a piece's last id carries the word-end mark, so many
         of them share a call as one text; if the marks don't number the words, each is encoded by itself."""
-        plain = [i for i, s in enumerate(stems) if s.isalpha()] if self.ends is not None else []
-        length = np.zeros(len(stems), np.int64)
-        pieces = [" ".join([stems[i] for i in plain[k : k + 256]]) for k in range(0, len(plain), 256)]
-        ids = np.fromiter((i for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) for i in x.ids), np.uint32)
-        if len(plain) != (last := np.flatnonzero(self.ends[ids]) if len(ids) else ids).size:
-            plain, ids, last = [], ids[:0], ids[:0]
-        length[plain] = np.diff(last.astype(np.int64), prepend=-1)
-        rest = np.ones(len(stems), bool)
-        rest[plain] = False
-        alone = [x.ids for x in self.tokenizer.encode_batch_fast([stems[i] for i in np.flatnonzero(rest)], add_special_tokens=False)]
-        length[rest] = [len(x) for x in alone]
-        flat = np.zeros(int(length.sum()), np.uint32)
-        is_rest = np.repeat(rest, length)
-        flat[~is_rest] = ids
-        flat[is_rest] = [i for x in alone for i in x]
-        return flat, length
+        alone: list[str] = []
+        plain: tuple[list[str], list[str]] = ([], [])
+        for word in map(bytes.decode, new):
+            if self.ends is None or not word.isalpha():
+                alone.append(word)
+            else:
+                plain[bool(self.ascii) and word.isascii() and word.islower()].append(word)
+        for group, tokenizer in zip(plain, (self.tokenizer, self.ascii), strict=True):
+            if group:
+                texts = [" ".join(group[k : k + 256]) for k in range(0, len(group), 256)]
+                ids = _flat(tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+                last = np.flatnonzero(self.ends[ids])
+                if last.size == len(group):
+                    yield group, ids, np.diff(last, prepend=-1)
+                else:
+                    alone += group
+        if alone:
+            got = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+            yield alone, _flat(got), np.fromiter(map(len, got), np.int64, len(got))
 
     def _add(self, new: list[bytes]) -> None:
-        """Ids of new words.  A full stop or comma after an ASCII letter is a token of its own, so it is split off."""
-        bases: dict[bytes, int] = {b".": 0, b",": 1}
-        stem, tail = np.zeros(len(new), np.int64), np.full(len(new), -1)
-        for k, w in enumerate(new):
-            if len(w) > 1 and w[-1] in b".," and (65 <= w[-2] <= 90 or 97 <= w[-2] <= 122):
-                stem[k], tail[k] = bases.setdefault(w[:-1], len(bases)), w[-1] == 44
-            else:
-                stem[k] = bases.setdefault(w, len(bases))
-        got, size = self._lookup([b.decode() for b in bases])
-        at = np.cumsum(size) - size
-        pair = np.stack((stem, np.maximum(tail, 0)), 1).ravel()
-        count = size[pair]
-        count[1::2][tail < 0] = 0
-        before = np.concatenate(([0], np.cumsum(count)))
-        flat = got[np.repeat(at[pair] - before[:-1], count) + np.arange(before[-1])]
-        self.place.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-        self.start = np.concatenate((self.start, len(self.flat) + before[:-1:2]))
-        self.length = np.concatenate((self.length, before[2::2] - before[:-1:2]))
-        self.flat, self.n = np.concatenate((self.flat, flat)), self.n + len(new)
+        groups = list(self._groups(new))
+        new = [w.encode() for group, _, _ in groups for w in group]
+        got, size = np.concatenate([g[1] for g in groups]), np.concatenate([g[2] for g in groups])
+        n, m = self.n, self.n + len(new)
+        if m > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * m), np.resize(self.length, 2 * m)
+        while self.used + len(got) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.start[n:m], self.length[n:m] = self.used + np.cumsum(size) - size, size
+        self.flat[self.used : self.used + len(got)] = got
+        self.place.update(zip(new, range(n, m), strict=True))
+        self.n, self.used = m, self.used + len(got)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, one after the other, and where each text begins (one more for the end)."""
-        w = words.split(texts)
+        w = words.split(_simpler(texts))
         distinct = w.distinct.to_pylist()
         if len(self.place) + len(distinct) > self.cache_words:
             self._clear()
-        if new := [x for x in distinct if x not in self.place]:
-            self._add(new)
-        place = np.fromiter((self.place[x] for x in distinct), np.int64, len(distinct))
+        found = list(map(self.place.get, distinct))
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            self._add([distinct[i] for i in missing])
+            for i in missing:
+                found[i] = self.place[distinct[i]]
+        place = np.array(found, np.int32)
         n_docs, n_words = len(w.offsets) - 1, len(w.codes)
-        entry = np.zeros(n_words + n_docs, np.int64)  # the end id stands after each text's words
-        entry[np.arange(n_words) + w.rows()] = place[w.codes]
+        entry = np.zeros(n_words + n_docs, np.int32)  # the end id stands after each text's words
+        is_end = np.zeros(n_words + n_docs, bool)
+        is_end[w.offsets[1:] + np.arange(n_docs)] = True
+        entry[~is_end] = place[w.codes]
         length = self.length[entry]
-        before = np.concatenate(([0], np.cumsum(length)))
-        ids = self.flat[np.repeat(self.start[entry] - before[:-1], length) + np.arange(before[-1])]
-        return ids, before[w.offsets + np.arange(n_docs + 1)]
+        before = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+        # The flat place of each id: the word's start, minus the ids before the word, plus the id's own number.
+        source = np.repeat((self.start[entry] - before[:-1]).astype(np.int32), length)
+        source += np.arange(before[-1], dtype=np.int32)
+        return self.flat[source], before[w.offsets + np.arange(n_docs + 1)]
 
 
 _ENCODERS: dict[tuple[str, int | None], WordEncoder] = {}

@@ -51,7 +51,7 @@ def encode(ids: np.ndarray, offsets: np.ndarray, levels: int | None = None) -> b
     levels = levels or max(1, int(ids.max(initial=0)).bit_length())
     directory = zstandard.compress(np.ascontiguousarray(offsets, "<u8").tobytes(), 1)
     out = [HEAD.pack(MAGIC, levels, len(ids), len(offsets) - 1, len(directory)), directory]
-    current = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+    current = ids.astype(np.uint16 if levels <= 16 else np.uint32, copy=False)
     for level in range(levels - 1, -1, -1):
         ones = ((current >> level) & 1).astype(bool)
         bits = zstandard.compress(np.packbits(ones).tobytes(), 1)
@@ -173,10 +173,10 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_toke
         )
 
     for batch in batches:
-        for piece in words.chunks(batch, "text", 1 << 20):
+        for piece in words.chunks(batch, "text"):
             ids, at = encoder.encode(piece.column("text"))
             docs.append(piece.column("doc_id"))
-            held.append(ids.astype(np.uint32))
+            held.append(ids.astype(np.uint16) if levels <= 16 else ids)
             sizes.append(np.diff(at))
             total += len(ids)
             if total >= shard_tokens:
