@@ -1,16 +1,21 @@
-"""Toxicity by two class-conditional Kneser-Ney bigram models.
+"""Toxicity by class-conditional Kneser-Ney models.
 
-For each class, p(w | v) = max(n(v, w) - D, 0) / n(v) + D N(v.) / n(v) u(w), with N(v.) the different
-words after v.  Its backoff u(w) discounts the class's own continuation counts N(.w), different words
-before w, and gives the rest to continuation counts that both classes share, so an expression too rare
-to be known in one class is judged alike by both.  A document's evidence is the log-likelihood ratio of
-toxic to ordinary over its length, as a whole and for its most toxic window; a logistic curve turns the
-two into a score.
+A class's model is Kneser-Ney's continuation distribution: an expression weighs by the different words
+it follows in the class's documents, N(.w), not by how often it stands there, so copies and catch
+phrases don't count twice.  Backoff counts are shared: of an expression's N(.w) over both classes, the
+first ``POOL`` are taken from the classes and given back as its stem (``STEM`` letters) divides, and of
+the stem's, ``STEM_POOL`` as the classes' sizes divide.  What is too rare to tell is thus judged by what
+is like it, and in the end alike by both models.  The log-likelihood ratio of an expression is bounded
+below (``FLOOR``), as one ordinary word says little.
 
-Counts come from all labelled rows of two folds; only the curve is fitted on a bounded sample
-(``CURVE_ROWS``) of a third fold, which the counts haven't seen.  Words are hashed into ``WORDS``
-buckets and bigrams that stand twice or more into ``BIGRAMS``, so the model that is broadcast has a
-fixed size.  The fold is crc32(doc_id as text) mod 4; fold 2 is never learned from.
+A document's evidence is the ratio over its length, the part of it that speaks for toxic, and the ratio
+of its most toxic window over the window's length; a logistic curve turns the three into a score.  (A
+bigram term above the continuation level was tried and made held-out results worse; see README.)
+
+Counts come from all labelled rows that may be learned from.  The curve is fitted on a bounded sample
+(``CURVE_ROWS``) of fold 3 with counts of folds 0 and 1 alone.  Words are hashed into ``WORDS`` buckets,
+so the model that is broadcast has a fixed size.  The fold is crc32(doc_id as text) mod 4; fold 2 is
+never learned from.
 
 Defined results: null and empty texts get the score of no evidence; a repeated label counts once (the
 larger); rows are scored one by one, also with repeated or null doc_ids (a null one is not held out and
@@ -21,7 +26,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +38,12 @@ from . import words
 from .common import saved
 from .decontaminate import normal
 
-COUNT_FOLDS, CURVE_FOLD, HELD_OUT = (0, 1), 3, 2
-WORD_BITS, BIGRAM_BITS = 19, 20
-WORDS, BIGRAMS = 1 << WORD_BITS, 1 << BIGRAM_BITS
-DISCOUNT, WINDOW = 0.75, 24
+CURVE_FOLD, HELD_OUT = 3, 2
+WORD_BITS = 19
+WORDS = 1 << WORD_BITS
+STEM, POOL, STEM_POOL, FLOOR, WINDOW = 4, 4, 8, -0.5, 24
 CURVE_ROWS, CUT = 50_000, 0.3
+EVIDENCE = ("whole", "positive", "top")
 #: Labels are broadcast up to this many rows (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 
@@ -46,96 +52,100 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def _bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of each word and of the word before it (0 at the start of a text), and where texts begin."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the words of the texts, where texts begin, and buckets of each code's word and stem."""
     w = words.split(texts)
     names = [normal(x) for x in w.distinct.to_pylist()]
-    bucket = np.fromiter((1 + xxhash.xxh3_64_intdigest(x) % (WORDS - 1) if x else -1 for x in names), np.int64, len(names))
-    seq = bucket[w.codes] if len(names) else np.zeros(0, np.int64)
-    real = seq >= 0
-    offsets = np.concatenate(([0], np.cumsum(real)))[w.offsets]
-    seq = seq[real]
-    before = np.concatenate(([0], seq[:-1])) if len(seq) else seq
-    before[offsets[:-1][np.diff(offsets) > 0]] = 0
-    return before, seq, offsets
-
-
-def _bigram_bucket(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (words.mix((before.astype(np.uint64) << np.uint64(WORD_BITS)) | word.astype(np.uint64)) & np.uint64(BIGRAMS - 1)).astype(np.int64)
+    real = np.fromiter(map(bool, names), bool, len(names))[w.codes] if names else np.zeros(0, bool)
+    hashed = [(xxhash.xxh3_64_intdigest(x), xxhash.xxh3_64_intdigest(x.decode("utf-8", "replace")[:STEM].encode())) for x in names]
+    buckets = 1 + np.array(hashed, np.uint64).reshape(-1, 2) % np.uint64(WORDS - 1)
+    return w.codes[real], np.concatenate(([0], np.cumsum(real)))[w.offsets], buckets[:, 0].astype(np.int64), buckets[:, 1].astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (class, before, word) of each chunk as one number, and how often."""
+    """Distinct (class, before, word, stem) of each chunk as one number, and whether a count fold has it."""
     for batch in batches:
         for part in words.chunks(batch, "text"):
-            before, word, at = _bigrams(part.column("text"))
+            code, at, word, stem = _words(part.column("text"))
+            before = np.concatenate(([0], word[code[:-1]])) if len(code) else code
+            before[at[:-1][np.diff(at) > 0]] = 0  # nothing stands before a text's first word
             toxic = np.repeat(np.asarray(part.column("toxic"), np.int64), np.diff(at))
-            key, n = np.unique((((toxic << WORD_BITS) | before) << WORD_BITS) | word, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["bigram", "n"])
+            inner = np.repeat(np.asarray(part.column("fold"), np.int64) != CURVE_FOLD, np.diff(at))
+            # The flag is the lowest bit: with it, the larger of two equal bigrams is the one of a count fold.
+            key = np.unique((((((((toxic << WORD_BITS) | before) << WORD_BITS) | word[code]) << WORD_BITS) | stem[code]) << 1) | inner)
+            last = np.append(key[1:] >> 1 != key[:-1] >> 1, True) if len(key) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(key[last] >> 1), pa.array((key[last] & 1).astype(np.int64))], names=["bigram", "inner"])
+
+
+def _pooled(counts: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the classes keep of their counts, and the shared count taken from them (with a half for the unseen)."""
+    both = counts.sum(0)
+    taken = np.minimum(both, pool)
+    return counts * (1 - taken / np.maximum(both, 1)), taken + 0.5
 
 
 @dataclass
 class Model:
-    """Tables by class (first axis); see the module for the formula."""
+    """Tables by word or stem bucket; ``sizes`` are the classes' shares of all counts."""
 
-    pairs: np.ndarray  # n(v, w) where 2 or more
-    total: np.ndarray  # n(v)
-    follow: np.ndarray  # D N(v.) / n(v), 1 where v is unknown
-    unigram: np.ndarray  # u(w)
-    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    own: np.ndarray
+    shared: np.ndarray
+    stems: np.ndarray
+    sizes: np.ndarray
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
     @classmethod
-    def from_counts(cls, pairs: np.ndarray, total: np.ndarray, followers: np.ndarray, preceding: np.ndarray) -> Model:
-        shared = (preceding.sum(0) + 1) / (preceding.sum() + WORDS)
-        of_class = np.maximum(preceding.sum(1, keepdims=True), 1)
-        unigram = np.maximum(preceding - DISCOUNT, 0) / of_class + np.where(preceding.sum(1, keepdims=True) > 0, DISCOUNT * (preceding > 0).sum(1, keepdims=True) / of_class, 1) * shared
-        follow = np.where(total > 0, DISCOUNT * followers / np.maximum(total, 1), 1)
-        return cls(pairs.astype(np.float32), np.maximum(total, 1).astype(np.float32), follow.astype(np.float32), unigram.astype(np.float64))
-
-    def ratios(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        k = _bigram_bucket(before, word)
-        p = [np.maximum(self.pairs[c][k] - DISCOUNT, 0) / self.total[c][before] + self.follow[c][before] * self.unigram[c][word] for c in (0, 1)]
-        return np.log(p[1]) - np.log(p[0])
+    def from_counts(cls, by_word: np.ndarray, by_stem: np.ndarray) -> Model:
+        """N(.w) by class and word bucket, and their sums by class and stem bucket."""
+        size = np.maximum(by_word.sum(1), 1)
+        sizes = size / size.sum()
+        own, shared = _pooled(by_word, POOL)
+        stem_own, stem_shared = _pooled(by_stem, STEM_POOL)
+        stems = stem_own + stem_shared * sizes[:, None]
+        return cls(own.astype(np.float32), shared.astype(np.float32), (stems / stems.sum(0)).astype(np.float32), sizes)
+
+    def ratios(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
+        p = [(self.own[c][word] + self.shared[word] * self.stems[c][stem]) / self.sizes[c] for c in (0, 1)]
+        return np.maximum(np.log(p[1]) - np.log(p[0]), FLOOR)
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
-        """Length-normalised log-likelihood ratio of each text and of its most toxic window."""
-        before, word, at = _bigrams(texts)
-        n = np.diff(at)
-        total = np.concatenate(([0.0], np.cumsum(self.ratios(before, word))))
-        out = np.zeros((len(n), 2))
+        """For each text: the mean ratio, the mean of its positive part, and the largest mean of a window."""
+        code, at, word, stem = _words(texts)
+        n, ratio = np.diff(at), self.ratios(word, stem)[code].astype(np.float64)
+        sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (ratio, np.maximum(ratio, 0))]
+        out = np.zeros((len(n), 3))
         some = n > 0
-        out[some, 0] = (total[at[1:]] - total[at[:-1]])[some] / n[some]
-        out[:, 1] = out[:, 0]
+        for k, total in enumerate(sums):
+            out[some, k] = (total[at[1:]] - total[at[:-1]])[some] / n[some]
+        out[:, 2] = out[:, 0]
         begin, row = words.starts(at, WINDOW)
         if len(begin):
-            top = np.maximum.reduceat(total[begin + WINDOW] - total[begin], np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))))
-            out[np.unique(row), 1] = top / WINDOW
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            out[row[first], 2] = np.maximum.reduceat(sums[0][begin + WINDOW] - sums[0][begin], first) / WINDOW
         return out
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
-        a, b, c = self.curve
-        return 1 / (1 + np.exp(-np.clip(a + evidence @ np.array([b, c]), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + evidence @ np.array(self.curve[1:]), -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
-    """Intercept and two weights by Newton steps on standardised columns."""
-    share = float(y.mean()) if len(y) else 0.0
-    share = min(max(share, 1e-6), 1 - 1e-6)
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, ...]:
+    """Intercept and weights by Newton steps on standardised columns."""
+    k = x.shape[1]
     if not len(y) or y.min() == y.max():
-        return float(np.log(share / (1 - share))), 0.0, 0.0
+        share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
+        return (float(np.log(share / (1 - share))), *[0.0] * k)
     mean, sd = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.column_stack((np.ones(len(x)), (x - mean) / sd))
-    w = np.zeros(3)
+    w, penalty = np.zeros(k + 1), ridge * np.diag([0.0] + [1.0] * k)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (p - y) / len(y) + ridge * np.array([0, w[1], w[2]])
-        hessian = (z * (p * (1 - p))[:, None]).T @ z / len(y) + ridge * np.eye(3)
-        step = np.linalg.solve(hessian, gradient)
+        hessian = (z * (p * (1 - p))[:, None]).T @ z / len(y) + penalty + 1e-9 * np.eye(k + 1)
+        step = np.linalg.solve(hessian, z.T @ (p - y) / len(y) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    b, c = w[1:] / sd
-    return float(w[0] - b * mean[0] - c * mean[1]), float(b), float(c)
+    slopes = w[1:] / sd
+    return (float(w[0] - slopes @ mean), *map(float, slopes))
 
 
 def _table(rows: DataFrame, size: int) -> np.ndarray:
@@ -158,33 +168,19 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = labelled(docs, labels)
-    learn = rows.where(F.col("fold").isin(*COUNT_FOLDS))
-    mask = WORDS - 1
-    counted = learn.select("text", "toxic").mapInArrow(_count, "bigram long, n long").groupBy("bigram").agg(F.sum("n").alias("n"))
-    counted = saved(counted.selectExpr(f"int(shiftright(bigram, {2 * WORD_BITS})) AS toxic", f"int(shiftright(bigram, {WORD_BITS}) & {mask}) AS before", f"int(bigram & {mask}) AS word", "n"), "bigrams")
-    by_context = saved(counted.groupBy("toxic", F.col("before").alias("bucket")).agg(F.sum("n").alias("total"), F.count("*").alias("followers")), "contexts")
-    total = _table(by_context.selectExpr("toxic", "bucket", "total AS n"), WORDS)
-    followers = _table(by_context.selectExpr("toxic", "bucket", "followers AS n"), WORDS)
-    preceding = _table(counted.groupBy("toxic", F.col("word").alias("bucket")).agg(F.count("*").alias("n")), WORDS)
-    pairs = np.zeros((2, BIGRAMS))
-    for toxic in (0, 1):
-        often = counted.where(f"n > 1 AND toxic = {toxic}").select("before", "word", "n")
-        hashed = often.mapInArrow(_hashed, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        pairs += _table(hashed.selectExpr(f"{toxic} AS toxic", "int(bucket) AS bucket", "n"), BIGRAMS)
-    model = Model.from_counts(pairs, total, followers, preceding)
+    counted = rows.select("text", "toxic", "fold").mapInArrow(_count, "bigram long, inner long").groupBy("bigram").agg(F.max("inner").alias("inner"))
+    # Distinct bigrams by word and by stem; two rows for each bucket at most come to the driver.
+    split = saved(counted.selectExpr(f"int(shiftright(bigram, {3 * WORD_BITS})) AS toxic", f"int(shiftright(bigram, {WORD_BITS}) & {WORDS - 1}) AS word", f"int(bigram & {WORDS - 1}) AS stem", "inner"), "continuations")
+    tables = {unit: saved(split.groupBy("toxic", F.col(unit).alias("bucket")).agg(F.count("*").alias("n"), F.sum("inner").alias("n_inner")), unit) for unit in ("word", "stem")}
+    by = lambda n: [_table(tables[unit].select("toxic", "bucket", F.col(n).alias("n")), WORDS) for unit in ("word", "stem")]
+    model = Model.from_counts(*by("n_inner"))
     sample = rows.where(F.col("fold") == CURVE_FOLD)
     share = CURVE_ROWS / max(1, labels.count())  # of all labels, so that the sample stays below the bound
     if share < 1:
         sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = _with_evidence(sample.select("doc_id", "text", "toxic"), model, "toxic int").select("toxic", "whole", "top").toPandas()
-    model.curve = logistic(got[["whole", "top"]].to_numpy(float), got["toxic"].to_numpy(float))
-    return model
-
-
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        k = _bigram_bucket(np.asarray(batch.column("before"), np.int64), np.asarray(batch.column("word"), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(k), batch.column("n")], names=["bucket", "n"])
+    got = _with_evidence(sample.select("doc_id", "text", "toxic"), model, "toxic int").select("toxic", *EVIDENCE).toPandas()
+    curve = logistic(got[list(EVIDENCE)].to_numpy(float), got["toxic"].to_numpy(float))
+    return replace(Model.from_counts(*by("n")), curve=curve)
 
 
 def _with_evidence(docs: DataFrame, model: Model, more: str = "") -> DataFrame:
@@ -196,16 +192,16 @@ def _with_evidence(docs: DataFrame, model: Model, more: str = "") -> DataFrame:
                 e = shared.value.evidence(part.column("text"))
                 keep = [i for i, n in enumerate(part.schema.names) if n != "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in keep], pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(shared.value.scores(e))],
-                    names=[*[part.schema.names[i] for i in keep], "whole", "top", "score"],
+                    [*[part.column(i) for i in keep], *[pa.array(np.ascontiguousarray(x)) for x in e.T], pa.array(shared.value.scores(e))],
+                    names=[*[part.schema.names[i] for i in keep], *EVIDENCE, "score"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, " + (more + ", " if more else "") + "whole double, top double, score double")
+    return docs.mapInArrow(run, "doc_id long, " + (more + ", " if more else "") + "".join(f"{x} double, " for x in EVIDENCE) + "score double")
 
 
 def score(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the evidence: whole and top (log-likelihood ratios by length)."""
+    """doc_id, held_out, score, predicted, and the evidence."""
     model = train(docs, labels)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = _with_evidence(slim, model)
-    return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "whole", "top")
+    return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *EVIDENCE)
