@@ -205,3 +205,16 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = _with_evidence(slim, model)
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *EVIDENCE)
+
+
+def reject(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """``docs`` without the rows whose score reaches ``cut``; all columns stay, nothing is shuffled."""
+    model = train(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.chunks(batch, "text"):
+                yield part.filter(pa.array(shared.value.scores(shared.value.evidence(part.column("text"))) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
