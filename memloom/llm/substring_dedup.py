@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +37,8 @@ WIDTH = 20
 ANCHOR = 8
 #: A place is start * 2**24 + tag of the text.
 TAG_BITS = 24
+#: Text handled at once in a worker: each word takes some 100 bytes here.
+CHUNK = 3 << 20
 _U64 = np.uint64
 
 
@@ -47,6 +48,17 @@ def _tags(texts: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(t or b"") & ((1 << TAG_BITS) - 1) for t in raw), np.int64, len(raw))
 
 
+def _leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
+    """For each ``span`` consecutive values, how far in the first least one is."""
+    n = len(values) - span + 1
+    least, where = values[:n].copy(), np.zeros(n, np.int64)
+    for k in range(1, span):
+        less = values[k : k + n] < least
+        np.copyto(least, values[k : k + n], where=less)
+        where[less] = k
+    return where
+
+
 class _Paths:
     """Windows of some texts and the paths that they form under their anchors."""
 
@@ -59,8 +71,7 @@ class _Paths:
             self.first = self.size = np.zeros(0, np.int64)
             return
         keys = words.windows(h, anchor, 31)
-        span = width - anchor + 1
-        place = sliding_window_view(keys, span)[self.at].argmin(axis=1) + self.at
+        place = _leftmost_least(keys, width - anchor + 1)[self.at] + self.at
         new = np.concatenate(([True], (place[1:] != place[:-1]) | (self.row[1:] != self.row[:-1])))
         self.first = np.flatnonzero(new)
         self.size = np.diff(np.append(self.first, len(self.at)))
@@ -82,7 +93,7 @@ def _slim(docs: DataFrame) -> DataFrame:
 def _path_rows(docs: DataFrame, width: int, anchor: int, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.chunks(batch, "text"):
+            for part in words.chunks(batch, "text", CHUNK):
                 p = _Paths(part.column("text"), width, anchor)
                 if not len(p.first):
                     continue
@@ -106,7 +117,7 @@ def _windows_of(docs: DataFrame, opened: DataFrame, width: int, anchor: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.chunks(batch, "text"):
+            for part in words.chunks(batch, "text", CHUNK):
                 p = _Paths(part.column("text"), width, anchor)
                 if not len(p.first):
                     continue
@@ -153,7 +164,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in words.chunks(batch, "text"):
+        for part in words.chunks(batch, "text", CHUNK):
             tags = _tags(part.column("text"))
             kept, before, removed = [], [], []
             for text, spans, tag in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), tags.tolist(), strict=True):
