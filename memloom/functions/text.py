@@ -60,12 +60,15 @@ def redact(x: Column) -> tuple[Column, Column]:
     return F.regexp_replace(once, _BEARER, "Bearer <redacted>"), F.regexp_like(x, F.lit(_ASSIGNMENT)) | F.regexp_like(once, F.lit(_BEARER))
 
 
-@F.pandas_udf("string")
-def utf8_prefix(text: pd.Series, limit: pd.Series) -> pd.Series:
-    """At most ``limit`` bytes of the text, cut at a character boundary."""
+def _utf8_prefix(text: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else t.encode()[: max(0, int(n))].decode("utf-8", "ignore") for t, n in zip(text, limit, strict=True)])
 
 
+def utf8_prefix(x: Column, limit: Column) -> Column:
+    """At most ``limit`` bytes of the text, cut at a character boundary; built-in functions cannot say it."""
+    return F.pandas_udf(_utf8_prefix, "string")(x, limit)
+
+
 def estimated_tokens(n_bytes: Column) -> Column:
     return F.ceil(n_bytes / 4).cast("long")
 

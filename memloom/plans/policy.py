@@ -70,16 +70,16 @@ def i4_decide(t: Tables) -> DataFrame:
     return p.decide(_candidates(t), "id", OBJECTIVES, WEIGHTS, _reason(), [F.desc("quality")]).select("id", F.round("score", 6).alias("score"))
 
 
-METRICS = "SELECT user_id, 1 + event_id % 3 AS weight, (event_id % 10) / 10.0 AS confidence, least(1, value / 50) AS pressure, event_type <> 'error' AND event_id % 10 > 0 AS usable FROM events"
+METRICS = "SELECT user_id, 1 + event_id % 3 AS weight, (event_id % 10) / 10.7 AS confidence, least(1, value / 49) AS pressure, event_type <> 'error' AND event_id % 10 > 0 AS usable FROM events"
 
 
 @query(f"""
 WITH a AS (SELECT user_id, sum(weight * confidence * pressure) FILTER (usable) AS x, sum(weight * confidence) FILTER (usable) AS m, coalesce(sum(weight) FILTER (usable), 0) / sum(weight) AS coverage, sum(weight * confidence) FILTER (usable) / sum(weight) FILTER (usable) AS c FROM ({METRICS}) GROUP BY 1)
-SELECT user_id, CASE WHEN m > 0 AND coverage >= 0.5 THEN round(100 * x / m, 4) END AS score, round(coverage * coalesce(c, 0), 4) AS confidence, CASE WHEN m IS NULL OR m = 0 THEN 'no_usable_metric' WHEN coverage < 0.5 THEN 'coverage_low' END AS reason FROM a""")
+SELECT user_id, CASE WHEN m > 0 AND coverage >= 0.5 THEN round(100 * x / m, 6) END AS score, round(coverage * coalesce(c, 0), 6) AS confidence, CASE WHEN m IS NULL OR m = 0 THEN 'no_usable_metric' WHEN coverage < 0.5 THEN 'coverage_low' END AS reason FROM a""")
 def i5_pressure(t: Tables) -> DataFrame:
     i = F.col("event_id")
-    m = t.events.select("user_id", (1 + i % 3).alias("weight"), (i % 10 / 10).alias("confidence"), F.least(F.lit(1.0), F.col("value") / 50).alias("pressure"), ((F.col("event_type") != "error") & (i % 10 > 0)).alias("usable"))
-    return p.pressure(m, ["user_id"]).select("user_id", F.round("score", 4).alias("score"), F.round("confidence", 4).alias("confidence"), "reason")
+    m = t.events.select("user_id", (1 + i % 3).alias("weight"), (i % 10 / F.lit(10.7)).alias("confidence"), F.least(F.lit(1.0), F.col("value") / 49).alias("pressure"), ((F.col("event_type") != "error") & (i % 10 > 0)).alias("usable"))
+    return p.pressure(m, ["user_id"])
 
 
 @query("SELECT s_suppkey, round(s_suppkey % 10 + 35 * (s_suppkey % 7) / 7.0 + 25 * (s_suppkey % 5) / 5.0 + 10 * (s_suppkey % 3) / 3.0, 6) AS score FROM supplier ORDER BY s_suppkey % 10 + 35 * (s_suppkey % 7) / 7.0 + 25 * (s_suppkey % 5) / 5.0 + 10 * (s_suppkey % 3) / 3.0, s_suppkey LIMIT 1000")
@@ -140,7 +140,7 @@ def z11_usable(t: Tables) -> DataFrame:
     return t.events.select("event_id", ok.alias("usable"), F.round(p.headroom_pressure(F.col("value") / 100, i % 10 / 10), 6).alias("pressure"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity - 1, 0), 6) AS ratio FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity - 1, 0) AS ratio FROM lineitem")
 def z13_ratios(t: Tables) -> DataFrame:
     ratio = F.col("l_extendedprice") / F.nullif(F.col("l_quantity") - 1, F.lit(0.0))
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(ratio, 6).alias("ratio"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", ratio.alias("ratio"))
