@@ -131,7 +131,7 @@ class Model:
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, ...]:
     """Intercept and weights by Newton steps on standardised columns."""
     k = x.shape[1]
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max():  # nothing to tell apart
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return (float(np.log(share / (1 - share))), *[0.0] * k)
     mean, sd = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -148,11 +148,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float,
     return (float(w[0] - slopes @ mean), *map(float, slopes))
 
 
-def _table(rows: DataFrame, size: int) -> np.ndarray:
-    """Rows (toxic, bucket, n), at most two for each bucket, as an array."""
-    out = np.zeros((2, size))
-    got = rows.toPandas()
-    out[got["toxic"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
+def _tables(rows: DataFrame) -> list[np.ndarray]:
+    """Rows (toxic, bucket, n_inner, n), at most two for each bucket, as an array for each count."""
+    got = rows.selectExpr("toxic", "bucket", "int(n_inner) AS n_inner", "int(n) AS n").toArrow()
+    at = (got["toxic"].to_numpy(), got["bucket"].to_numpy())
+    out = []
+    for name in ("n_inner", "n"):
+        out.append(np.zeros((2, WORDS), np.float32))
+        out[-1][at] = got[name].to_numpy()
     return out
 
 
@@ -171,16 +174,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counted = rows.select("text", "toxic", "fold").mapInArrow(_count, "bigram long, inner long").groupBy("bigram").agg(F.max("inner").alias("inner"))
     # Distinct bigrams by word and by stem; two rows for each bucket at most come to the driver.
     split = saved(counted.selectExpr(f"int(shiftright(bigram, {3 * WORD_BITS})) AS toxic", f"int(shiftright(bigram, {WORD_BITS}) & {WORDS - 1}) AS word", f"int(bigram & {WORDS - 1}) AS stem", "inner"), "continuations")
-    tables = {unit: saved(split.groupBy("toxic", F.col(unit).alias("bucket")).agg(F.count("*").alias("n"), F.sum("inner").alias("n_inner")), unit) for unit in ("word", "stem")}
-    by = lambda n: [_table(tables[unit].select("toxic", "bucket", F.col(n).alias("n")), WORDS) for unit in ("word", "stem")]
-    model = Model.from_counts(*by("n_inner"))
+    by_word, by_stem = (_tables(split.groupBy("toxic", F.col(unit).alias("bucket")).agg(F.count("*").alias("n"), F.sum("inner").alias("n_inner"))) for unit in ("word", "stem"))
+    model = Model.from_counts(by_word[0], by_stem[0])
     sample = rows.where(F.col("fold") == CURVE_FOLD)
     share = CURVE_ROWS / max(1, labels.count())  # of all labels, so that the sample stays below the bound
     if share < 1:
         sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = _with_evidence(sample.select("doc_id", "text", "toxic"), model, "toxic int").select("toxic", *EVIDENCE).toPandas()
-    curve = logistic(got[list(EVIDENCE)].to_numpy(float), got["toxic"].to_numpy(float))
-    return replace(Model.from_counts(*by("n")), curve=curve)
+    got = _with_evidence(sample.select("doc_id", "text", "toxic"), model, "toxic int").select("toxic", *EVIDENCE).toArrow()
+    curve = logistic(np.column_stack([got[x].to_numpy() for x in EVIDENCE]), got["toxic"].to_numpy().astype(float))
+    return replace(Model.from_counts(by_word[1], by_stem[1]), curve=curve)
 
 
 def _with_evidence(docs: DataFrame, model: Model, more: str = "") -> DataFrame:
