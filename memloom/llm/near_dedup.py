@@ -11,7 +11,7 @@ that may differ.  With 64 slots, 31 errors and a similarity of 0.75, one pair in
 * Star round: in each index bucket, all members are paired with the least one, not with each other.
   Pairs that pass are confirmed on full sets and give components.
 * Rest round: buckets that still hold two components or more are compared inside, in blocks, only
-  across components and only by signature; what passes is confirmed on full sets.
+  across components and only by a finer signature; what passes is confirmed on full sets.
 
 A hot class, bucket or component is thus an aggregate, a splittable join or blocks of bounded size.
 
@@ -25,17 +25,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import release, saved
+from .common import partitions, release, saved
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 75
 SLOTS, BITS, CHUNKS, MAX_ERRORS = 64, 16, 16, 31
+#: A second, finer signature decides which pairs of a bucket are worth confirming; at 0.75, one pair in 10,000 differs more.
+FINE_SLOTS, FINE_ERRORS = 256, 90
+#: Text handled at once in a worker: a word takes some 100 bytes while it is sorted.
+CHUNK = 2 << 20
 #: Members of a bucket that are compared in one task at once.
 BLOCK = 2048
 _NULL = -(2**63)
@@ -65,13 +68,13 @@ def _segment_sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def signatures(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """``SLOTS`` minima for each non-empty set."""
+def signatures(keys: np.ndarray, at: np.ndarray, slots: int = SLOTS, seed: int = 43) -> np.ndarray:
+    """``slots`` minima for each non-empty set."""
     first = at[:-1][np.diff(at) > 0]
     low = (keys >> _U64(32)).astype(np.uint32)
-    odd = (words.multipliers(SLOTS, 43) >> _U64(16)).astype(np.uint32) | np.uint32(1)
-    out = np.empty((len(first), SLOTS), np.uint16)
-    for k in range(SLOTS):
+    odd = (words.multipliers(slots, seed) >> _U64(16)).astype(np.uint32) | np.uint32(1)
+    out = np.empty((len(first), slots), np.uint16)
+    for k in range(slots):
         least = np.minimum.reduceat(low * odd[k], first) if len(first) else np.zeros(0, np.uint32)
         out[:, k] = words.mix(least.astype(_U64)).astype(np.uint16)  # b bits of the minimum
     return out
@@ -79,7 +82,7 @@ def signatures(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in words.chunks(batch, "text"):
+        for part in words.chunks(batch, "text", CHUNK):
             keys, at = shingles(words.split(part.column("text"), lower=True))
             n = np.diff(at)
             h1 = _segment_sums(words.mix(keys), at)
@@ -108,13 +111,13 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
-        keys = index_keys(signature)
-        row = np.repeat(np.arange(len(keys)), keys.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column("rep").take(pa.array(row))], names=["key", "rep"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
+            keys = index_keys(signature)
+            row = np.repeat(np.arange(len(keys)), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column("rep").take(pa.array(row))], names=["key", "rep"])
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,30 +132,74 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(_near(a, b)))
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Near pairs of a block pair: of different components, and of sizes that allow the similarity."""
-    if pdf.empty:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-    left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-    sig = np.frombuffer(b"".join(right["signature"]), np.uint16).reshape(-1, SLOTS)
-    reps, comps, sizes = (right[c].to_numpy() for c in ("rep", "comp", "n_shingles"))
-    found_a, found_b = [], []
-    for rep, comp, n, s in zip(left["rep"], left["comp"], left["n_shingles"], left["signature"], strict=True):
-        may = (comps != comp) & (100 * np.minimum(sizes, n) >= THRESHOLD * np.maximum(sizes, n))
-        if i == j:
-            may &= reps > rep
-        at = np.flatnonzero(may)
-        at = at[_near(sig[at], np.frombuffer(s, np.uint16))]
-        found_a += [np.minimum(reps[at], rep)]
-        found_b += [np.maximum(reps[at], rep)]
-    return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)}) if found_a else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in words.chunks(batch, "text", CHUNK):
+            keys, at = shingles(words.split(part.column("text"), lower=True))
+            rows = [x.tobytes() for x in signatures(keys, at, FINE_SLOTS, 45).astype(np.uint8)]
+            kept = part.column("rep").filter(pa.array(np.diff(at) > 0))
+            yield pa.RecordBatch.from_arrays([kept, pa.array(rows, pa.binary())], names=["rep", "fine"])
+
+
+def _pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of equal, neighbouring ``group`` numbers, some 100,000 at a time."""
+    end = np.searchsorted(group, group, side="right")
+    counts = end - np.arange(len(group)) - 1
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(group):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + 100_000, side="right")))
+        n = counts[at:to]
+        left = np.repeat(np.arange(at, to), n)
+        yield left, left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Near pairs of sorted (key, i, j) groups: of different components and of sizes that allow the similarity.
+
+    Only the rows of the last group, which may go on, are held from batch to batch."""
+    held: pa.Table | None = None
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        cols = {c: rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "rep", "comp", "n_shingles")}
+        fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
+        new = np.zeros(len(fine), np.int64)
+        for c in ("key", "i", "j"):
+            new[1:] |= cols[c][1:] != cols[c][:-1]
+        out = [np.zeros((0, 2), np.int64)]
+        for a, b in _pairs_within(np.cumsum(new)):
+            n_a, n_b = cols["n_shingles"][a], cols["n_shingles"][b]
+            may = (cols["comp"][a] != cols["comp"][b]) & (100 * np.minimum(n_a, n_b) >= THRESHOLD * np.maximum(n_a, n_b))
+            may &= (cols["i"][a] == cols["j"][a]) | (cols["block"][a] != cols["block"][b])
+            a, b = a[may], b[may]
+            near = (fine[a] != fine[b]).sum(axis=1) <= FINE_ERRORS
+            out.append(np.sort(np.stack((cols["rep"][a[near]], cols["rep"][b[near]]), 1), axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        if not rows.num_rows:
+            continue
+        last = np.ones(rows.num_rows, bool)
+        for c in ("key", "i", "j"):
+            column = rows.column(c).to_numpy()
+            last &= column == column[-1]
+        begin = rows.num_rows - int(last.sum())
+        if begin:
+            yield found(rows.slice(0, begin))
+        held = rows.slice(begin).combine_chunks()
+    if held is not None and held.num_rows:
+        yield found(held)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with 100 * intersection >= THRESHOLD * union, on full sets."""
     for batch in batches:
-        for part in words.chunks(batch, "text_a", words.CHUNK_BYTES // 4):
+        for part in words.chunks(batch, "text_a", CHUNK // 2):
             n = part.num_rows
             texts = pa.concat_arrays([part.column(c).cast(pa.large_string()) for c in ("text_a", "text_b")])
             keys, at = shingles(words.split(texts, lower=True))
@@ -199,11 +246,13 @@ def cluster(docs: DataFrame) -> DataFrame:
     member = buckets.select("key", "rep").join(first.select(F.col("u").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     member = saved(member, "members")
     mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = member.join(mixed, "key").join(sizes.withColumnRenamed("r", "rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rest = member.join(mixed, "key").join(sizes.select(F.col("r").alias("rep"), "n_shingles"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    fine = saved(texts.join(rest.select("rep").distinct(), "rep").select("rep", "text").mapInArrow(_fine, "rep long, fine binary"), "fine")
     # A block meets itself and every other block of its bucket: one block, one group, in all but hot buckets.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    rest = rest.select("key", "rep", "comp", "n_shingles", "signature", "block", other).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-    pairs = rest.groupBy("key", "i", "j").applyInPandas(_across, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    rest = rest.select("key", "rep", "comp", "n_shingles", "block", other).join(fine, "rep").withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o")
+    dealt = rest.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = dealt.mapInArrow(_across, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     more = saved(_confirmed(saved(pairs, "rest"), texts), "rest-links")
     release(spark)
     roots = components(first.select("u", F.col("root").alias("v")).unionAll(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
