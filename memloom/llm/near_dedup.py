@@ -36,7 +36,7 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 75
 SLOTS, BITS, CHUNKS, MAX_ERRORS = 64, 16, 16, 31
 #: A second, finer signature decides which pairs of a bucket are worth confirming; at 0.75, one pair in 10,000 differs more.
-FINE_SLOTS, FINE_ERRORS = 256, 90
+FINE_SLOTS, FINE_ERRORS = 512, 165
 #: Text handled at once in a worker: a word takes some 100 bytes while it is sorted.
 CHUNK = 2 << 20
 #: Members of a bucket that are compared in one task at once.
@@ -106,10 +106,21 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
             for j in range(size):
                 if j != free:
                     key = words.mix(key * odd[j] + slots[:, j])
-            out[:, chunk * size + free] = key
+            # The low bits tell chunk and choice.
+            out[:, chunk * size + free] = (key & ~_U64(SLOTS - 1)) | _U64(chunk * size + free)
     return out
 
 
+def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chunk and choice (as in the keys' low bits) of the first key that two signatures share, -1 if there is none."""
+    size = SLOTS // CHUNKS
+    same = (a == b).reshape(len(a), CHUNKS, size)
+    enough = same.sum(axis=2) >= size - 1
+    chunk = enough.argmax(axis=1)
+    differs = ~same[np.arange(len(a)), chunk]
+    return np.where(enough.any(axis=1), chunk * size + np.where(differs.any(axis=1), differs.argmax(axis=1), 0), -1)
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
@@ -159,12 +170,14 @@ def _pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Near pairs of sorted (key, i, j) groups: of different components and of sizes that allow the similarity.
 
+    A pair that shares several buckets is found in the first of them alone.
     Only the rows of the last group, which may go on, are held from batch to batch."""
     held: pa.Table | None = None
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         cols = {c: rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "rep", "comp", "n_shingles")}
         fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
+        coarse = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
         new = np.zeros(len(fine), np.int64)
         for c in ("key", "i", "j"):
             new[1:] |= cols[c][1:] != cols[c][:-1]
@@ -174,8 +187,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             may = (cols["comp"][a] != cols["comp"][b]) & (100 * np.minimum(n_a, n_b) >= THRESHOLD * np.maximum(n_a, n_b))
             may &= (cols["i"][a] == cols["j"][a]) | (cols["block"][a] != cols["block"][b])
             a, b = a[may], b[may]
-            near = (fine[a] != fine[b]).sum(axis=1) <= FINE_ERRORS
-            out.append(np.sort(np.stack((cols["rep"][a[near]], cols["rep"][b[near]]), 1), axis=1))
+            for near in (lambda: _near(coarse[a], coarse[b]), lambda: first_key(coarse[a], coarse[b]) == cols["key"][a] & (SLOTS - 1), lambda: (fine[a] != fine[b]).sum(axis=1) <= FINE_ERRORS):
+                kept = near()
+                a, b = a[kept], b[kept]
+            out.append(np.sort(np.stack((cols["rep"][a], cols["rep"][b]), 1), axis=1))
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -246,11 +261,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     member = buckets.select("key", "rep").join(first.select(F.col("u").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     member = saved(member, "members")
     mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = member.join(mixed, "key").join(sizes.select(F.col("r").alias("rep"), "n_shingles"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rest = member.join(mixed, "key").join(sizes.withColumnRenamed("r", "rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     fine = saved(texts.join(rest.select("rep").distinct(), "rep").select("rep", "text").mapInArrow(_fine, "rep long, fine binary"), "fine")
     # A block meets itself and every other block of its bucket: one block, one group, in all but hot buckets.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    rest = rest.select("key", "rep", "comp", "n_shingles", "block", other).join(fine, "rep").withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o")
+    rest = rest.select("key", "rep", "comp", "n_shingles", "signature", "block", other).join(fine, "rep").withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o")
     dealt = rest.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = dealt.mapInArrow(_across, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     more = saved(_confirmed(saved(pairs, "rest"), texts), "rest-links")
