@@ -8,7 +8,7 @@ numbers for each document, never text.
 
 DataFrame functions only.  Defined results: a null or empty text is one empty line; rows with the
 same doc_id count as one document but are judged by their own text; a null doc_id is the smallest;
-an empty table gives empty results; other columns pass through ``apply``.
+an empty table gives empty results; other columns pass through ``apply``, but for n_lines and n_dropped.
 """
 
 from __future__ import annotations
@@ -64,18 +64,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def apply(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with kept lines alone in ``text``, and n_lines (before) and n_dropped."""
-    b = bitmaps.select(F.col("doc_id").alias("_b_doc"), F.col("row").alias("_b_row"), F.col("n_dropped").alias("_b_dropped"), F.col("kept").alias("_b_kept"))
-    text = F.col("text").cast("string")
-    joined = docs.join(b, F.col("doc_id").cast("long").eqNullSafe(F.col("_b_doc")) & (_row(text) == F.col("_b_row")), "left")
+    b = bitmaps.select("doc_id", "row", "n_dropped", "kept")
+    text, d = docs["text"].cast("string"), docs["doc_id"].cast("long")
+    joined = docs.join(b, d.eqNullSafe(b["doc_id"]) & (_row(text) == b["row"]), "left")
     lines = lines_of(text)
-    kept = F.array_join(F.flatten(F.transform("_b_kept", lambda r: F.slice(lines, r.first + 1, r["count"]))), "\n")
-    return (
-        joined.withColumn("_n", F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-        .withColumn("text", F.when(F.col("_b_kept").isNull(), F.col("text")).otherwise(kept))
-        .withColumn("n_lines", F.coalesce("_n", F.lit(1)).cast("long"))
-        .withColumn("n_dropped", F.coalesce("_b_dropped", F.lit(0)).cast("long"))
-        .drop("_n", "_b_doc", "_b_row", "_b_dropped", "_b_kept")
-    )
+    kept = F.array_join(F.flatten(F.transform(b["kept"], lambda r: F.slice(lines, r.first + 1, r["count"]))), "\n")
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long")
+    own = [docs[c] if c != "text" else F.when(b["kept"].isNull(), docs[c]).otherwise(kept).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*own, n_lines.alias("n_lines"), F.coalesce(b["n_dropped"], F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 from math import log2
 
 import pyarrow as pa
@@ -34,7 +35,6 @@ THRESHOLDS = {"hex": 3.2, "base64": 3.9}
 #: Never secrets: words joined by signs, numbers and dates, UUIDs, and what documentation shows.
 _ALLOWED_EXACT = re.compile(r"[A-Z]?[a-z]+([-_/=+][A-Z]?[a-z]+)*$|[A-Z]+([-_/=+][A-Z]+)*$|[0-9-]+$|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _ALLOWED_WORDS = re.compile(r"example|sample|placeholder|changeme|xxxx", re.I)
-_C_LOG_C = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 Span = tuple[str, int, int]
 
@@ -45,19 +45,26 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+@cache
+def _c_log_c(width: int) -> list[float]:
+    """c log2 c for the counts of a window, which has one character more while one goes in and one out."""
+    return [0.0] + [c * log2(c) for c in range(1, width + 2)]
+
+
 def max_entropy(s: str, width: int = WINDOW) -> float:
     """The largest entropy of a window of ``s``: log2(width) - sum(c log2 c) / width, updated by differences."""
+    weight = _c_log_c(width)
     counts: dict[str, int] = {}
     total, least = 0.0, float("inf")
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         counts[c] = n + 1
-        total += _C_LOG_C[n + 1] - _C_LOG_C[n]
+        total += weight[n + 1] - weight[n]
         if i >= width:
             out = s[i - width]
             n = counts[out]
             counts[out] = n - 1
-            total += _C_LOG_C[n - 1] - _C_LOG_C[n]
+            total += weight[n - 1] - weight[n]
         if i >= width - 1:
             least = min(least, total)
     return log2(width) - least / width if least < float("inf") else 0.0

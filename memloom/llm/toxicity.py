@@ -43,6 +43,8 @@ WORD_BITS = 19
 WORDS = 1 << WORD_BITS
 STEM, POOL, STEM_POOL, FLOOR, WINDOW = 4, 4, 8, -0.5, 24
 CURVE_ROWS, CUT = 50_000, 0.3
+#: Text handled at once in a worker: a word takes some 150 bytes while it is scored.
+CHUNK = 2 << 20
 EVIDENCE = ("whole", "positive", "top")
 #: Labels are broadcast up to this many rows (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
@@ -65,7 +67,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct (class, before, word, stem) of each chunk as one number, and whether a count fold has it."""
     for batch in batches:
-        for part in words.chunks(batch, "text"):
+        for part in words.chunks(batch, "text", CHUNK):
             code, at, word, stem = _words(part.column("text"))
             before = np.concatenate(([0], word[code[:-1]])) if len(code) else code
             before[at[:-1][np.diff(at) > 0]] = 0  # nothing stands before a text's first word
@@ -190,7 +192,7 @@ def _with_evidence(docs: DataFrame, model: Model, more: str = "") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.chunks(batch, "text"):
+            for part in words.chunks(batch, "text", CHUNK):
                 e = shared.value.evidence(part.column("text"))
                 keep = [i for i, n in enumerate(part.schema.names) if n != "text"]
                 yield pa.RecordBatch.from_arrays(
@@ -216,7 +218,7 @@ def reject(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.chunks(batch, "text"):
+            for part in words.chunks(batch, "text", CHUNK):
                 yield part.filter(pa.array(shared.value.scores(shared.value.evidence(part.column("text"))) < cut))
 
     return docs.mapInArrow(run, docs.schema)

@@ -175,14 +175,19 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_toke
     for batch in batches:
         for piece in words.chunks(batch, "text"):
             ids, at = encoder.encode(piece.column("text"))
-            docs.append(piece.column("doc_id"))
-            held.append(ids.astype(np.uint16) if levels <= 16 else ids)
-            sizes.append(np.diff(at))
-            total += len(ids)
-            if total >= shard_tokens:
-                yield flush()
-                shard, total = shard + 1, 0
-                docs, held, sizes = [], [], []
+            ids = ids.astype(np.uint16) if levels <= 16 else ids
+            first, n = 0, piece.num_rows
+            while first < n:
+                last = min(n, max(first + 1, int(np.searchsorted(at, at[first] + shard_tokens - total, "left"))))
+                docs.append(piece.column("doc_id").slice(first, last - first))
+                held.append(ids[at[first] : at[last]])
+                sizes.append(np.diff(at[first : last + 1]))
+                total += int(at[last] - at[first])
+                first = last
+                if total >= shard_tokens:
+                    yield flush()
+                    shard, total = shard + 1, 0
+                    docs, held, sizes = [], [], []
     if docs:
         yield flush()
 
