@@ -37,9 +37,8 @@ def index_terms(x: Column) -> Column:
 
 def lexical_tokens(x: Column) -> Column:
     """Distinct tokens: underscores, camel case, acronyms and digits separate them."""
-    spaced = F.regexp_replace(F.regexp_replace(x, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z])([A-Z])", "$1 $2")
-    spaced = F.regexp_replace(F.regexp_replace(spaced, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
-    return F.array_distinct(F.transform(F.regexp_extract_all(spaced, F.lit("([A-Za-z]+|[0-9]+)")), F.lower))
+    found = F.regexp_extract_all(x, F.lit("([A-Z]+(?=[A-Z][a-z]|[^A-Za-z]|$)|[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"))
+    return F.array_distinct(F.transform(F.array_distinct(found), F.lower))
 
 
 def knowledge_tokens(x: Column) -> Column:

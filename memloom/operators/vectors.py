@@ -40,3 +40,38 @@ def quality(ranked: DataFrame, query: str, rank: str, relevant: str, totals: Dat
     n = F.col("n_relevant")
     columns = [(F.col(f"hits_{k}") / F.greatest(F.lit(1), F.least(n, F.lit(k)))).alias(f"recall_{k}") for k in ks] + [(F.col(f"hits_{k}") / k).alias(f"precision_{k}") for k in ks]
     return out.select(query, *columns, F.when(n > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg_10"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
+def quantise_hadamard(x: Column, n: int, seed: int) -> Column:
+    """Random signs, Walsh-Hadamard over a zero-padded power of two, then 4-bit codes."""
+    size = 1 << (n - 1).bit_length()
+    _, signs = vector.signed_permutation(size, seed)
+    padded = F.concat(x, F.array_repeat(F.lit(0.0), size - n))
+    signed = F.zip_with(padded, F.array(*[F.lit(float(s)) for s in signs]), lambda a, b: a * b)
+    return vector.let(signed, lambda v: vector.quantise(vector.fwht(v, size)))
+
+
+def dequantise_hadamard(q: Column, n: int, seed: int) -> Column:
+    size = 1 << (n - 1).bit_length()
+    _, signs = vector.signed_permutation(size, seed)
+    back = vector.let(vector.dequantise(q), lambda v: vector.fwht(v, size))  # the transform is its own inverse
+    return F.slice(F.zip_with(back, F.array(*[F.lit(float(s)) for s in signs]), lambda a, b: a * b), 1, n)
+
+
+def lane_search(df: DataFrame, query: list[float], key: str, column: str, name: str, k: int, candidates: int | None = None) -> DataFrame:
+    """Q0 exact cosine; Q1 int8 cosine; Q2a 4-bit only; Q2b 4-bit candidates with exact scores."""
+    if name == "Q0":
+        return exact(df, query, key, column, "cosine", k)
+    q = F.array(*[F.lit(float(v)) for v in query])
+    levels = "Q1" if name == "Q1" else "Q2"
+    approx = vector.cosine(vector.dequantise(lane(vector.doubles(F.col(column)), levels)), vector.dequantise(lane(q, levels)))
+    first = df.withColumn("score", approx).orderBy(F.desc("score"), key)
+    if name != "Q2b":
+        return first.limit(k)
+    return exact(first.limit(candidates or 4 * k).drop("score"), query, key, column, "cosine", k)
+
+
+def promotion(metrics: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """metrics with the names of the floors that aren't reached (an unknown metric reaches none) and PROMOTE or REJECT."""
+    failed = F.filter(F.array(*[F.when(~F.coalesce(F.col(m) >= floor, F.lit(False)), F.lit(m)) for m, floor in floors.items()]), lambda x: x.isNotNull())
+    return metrics.withColumn("failed", failed).withColumn("gate", F.when(F.size("failed") == 0, "PROMOTE").otherwise("REJECT"))

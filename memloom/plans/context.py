@@ -111,3 +111,40 @@ SELECT doc_id, sha256(regexp_replace(once, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,
 def c16_redact(t: Tables) -> DataFrame:
     value, flag = text.redact(F.col("text"))
     return t.documents.select("doc_id", F.sha2(value, 256).alias("digest"), flag.alias("redacted"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'changed text ' || doc_id ELSE text END AS text FROM documents WHERE NOT (doc_id % 6 = 3) AND source = 'src3'),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM d), s AS (SELECT doc_id, line_no, strlen(line) AS bytes, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY line_no) AS cum_bytes FROM l WHERE line_no <= 4)
+SELECT * FROM s WHERE cum_bytes <= 500""")
+def c3_overlay_context(t: Tables) -> DataFrame:
+    """Lines in a byte budget over a base with an overlay: changed texts replace, tombstones remove."""
+    from ..operators.temporal import overlay
+
+    base = t.documents.where("source = 'src3'").select("doc_id", "text")
+    changed = base.where("doc_id % 3 = 0").select("doc_id")
+    rows = base.where("doc_id % 6 = 0").select("doc_id", F.concat(F.lit("changed text "), "doc_id").alias("text"))
+    merged = overlay(base, changed, rows, "doc_id")
+    lines = merged.select("doc_id", F.posexplode(F.slice(text.lines(F.col("text")), 1, 4)).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("line_no"), F.octet_length("line").alias("bytes"))
+    return c.prefix_stop(lines, [F.col("line_no")], {"bytes": 500}, ["doc_id"]).select("doc_id", "line_no", "bytes", "cum_bytes")
+
+
+@query("""
+WITH f AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_-]*')) AS t, CAST(ceil(n_chars / 4.0) AS BIGINT) AS tokens FROM documents), r AS (SELECT doc_id, tokens, len(list_intersect(['the', 'of', 'que'], t)) AS relevance FROM f),
+k AS (SELECT * FROM r WHERE relevance > 0 ORDER BY relevance DESC, doc_id LIMIT 30), b AS (SELECT doc_id, relevance, sum(tokens) OVER (ORDER BY relevance DESC, doc_id) AS cum_tokens FROM k) SELECT * FROM b WHERE cum_tokens <= 9000""")
+def c7_knowledge_context(t: Tables) -> DataFrame:
+    """The most relevant facts, at most 30, then a token budget that stops."""
+    from ..operators.lexical import knowledge_query
+
+    i = F.col("doc_id")
+    facts = t.documents.select(i, i.alias("handle"), F.lit(1).alias("version"), "text", F.lit(1).alias("trust"), F.lit("active").alias("state"), F.lit("doc").alias("source_type"), F.lit(0).alias("valid_from"), F.lit(None).cast("int").alias("valid_until"), F.lit(False).alias("conflicted"), text.estimated_tokens(F.col("n_chars")).alias("tokens"))
+    best = knowledge_query(facts, "the of que", floor=0, as_of=1, limit=30)
+    return c.prefix_stop(best, [F.desc("relevance"), i], {"tokens": 9000}, candidates=30).select("doc_id", "relevance", "cum_tokens")
+
+
+@query("""
+WITH e AS (SELECT doc_id, n_chars AS bytes, row_number() OVER (ORDER BY doc_id) AS rank, sum(n_chars) OVER (ORDER BY doc_id) AS cum_bytes FROM documents WHERE doc_id % 9 = 4 AND doc_id < 500) SELECT doc_id, cum_bytes FROM e WHERE rank <= 25 AND cum_bytes <= 40000""")
+def c12_bounded_resolve(t: Tables) -> DataFrame:
+    """Handles in request order until entries or bytes run out."""
+    asked = t.documents.where("doc_id % 9 = 4 AND doc_id < 500").select("doc_id", F.col("n_chars").alias("bytes"), F.lit(1).alias("entries"))
+    return c.prefix_stop(asked, [F.col("doc_id")], {"bytes": 40000, "entries": 25}, candidates=1000).select("doc_id", "cum_bytes")

@@ -117,3 +117,46 @@ def k13_derived_refresh(t: Tables) -> DataFrame:
     new = d.where("doc_id % 4 <> 0")
     c = diff(old, new, "doc_id", ["digest"]).groupBy().agg(F.count_if(F.col("change") != "delete").alias("embedded"), F.count_if(F.col("change") == "delete").alias("removed"))
     return old.join(new, ["doc_id", "digest"], "left_semi").agg(F.count("*").alias("reused")).crossJoin(F.broadcast(c))
+
+
+@query("SELECT user_id, event_type, count(DISTINCT value) AS results FROM events WHERE event_id < 3000 GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
+def z20_idempotency_collisions(t: Tables) -> DataFrame:
+    """Keys that stand for different contents; equal repeats are replays and fine."""
+    return x.nondeterministic(t.events.where("event_id < 3000"), ["user_id", "event_type"], "value")
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def z21_duplicate_content(t: Tables) -> DataFrame:
+    return t.documents.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT sha256(source || chr(0) || lang || chr(0) || doc_id) AS cache_key, doc_id FROM documents")
+def z28_cache_keys(t: Tables) -> DataFrame:
+    from ..functions.text import digest
+
+    return t.documents.select(digest(F.col("source"), F.col("lang"), F.col("doc_id")).alias("cache_key"), "doc_id")
+
+
+@query("SELECT c_custkey, c_acctbal = s_acctbal AS same, CASE WHEN s_suppkey IS NULL THEN 'side_missing' END AS reason FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+def z29_parity(t: Tables) -> DataFrame:
+    """Equal, different or unknown with a reason."""
+    j = t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey"), "left")
+    return j.select("c_custkey", (F.col("c_acctbal") == F.col("s_acctbal")).alias("same"), F.when(F.col("s_suppkey").isNull(), "side_missing").alias("reason"))
+
+
+@query("SELECT event_type, count(*) FILTER (value > 20) AS promoted, count(*) FILTER (value <= 20) AS held, count(*) AS n FROM events GROUP BY 1")
+def a9_promotions(t: Tables) -> DataFrame:
+    up = F.col("value") > 20
+    return t.events.groupBy("event_type").agg(F.count_if(up).alias("promoted"), F.count_if(~up).alias("held"), F.count("*").alias("n"))
+
+
+@query("""
+WITH k AS (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n, sha256(text) AS d FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'digest_mismatch' ELSE 'key_repeated' END AS reason FROM documents WHERE doc_id % 19 = 0 UNION ALL SELECT doc_id, 'key_repeated' FROM documents WHERE doc_id % 23 = 0""")
+def h5_verify_snapshot(t: Tables) -> DataFrame:
+    from ..sources.snapshots import verify
+
+    d = t.documents.select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    d = d.withColumn("digest", F.when(F.col("doc_id") % 19 == 0, "bad").otherwise(F.col("digest")))
+    twice = t.documents.where("doc_id % 23 = 0").select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    return verify(d.unionByName(twice), "doc_id", "text", "digest")

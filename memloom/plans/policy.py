@@ -144,3 +144,19 @@ def z11_usable(t: Tables) -> DataFrame:
 def z13_ratios(t: Tables) -> DataFrame:
     ratio = F.col("l_extendedprice") / F.nullif(F.col("l_quantity") - 1, F.lit(0.0))
     return t.lineitem.select("l_orderkey", "l_linenumber", ratio.alias("ratio"))
+
+
+@query("""
+WITH r AS (SELECT user_id, least(1, sum(value) / 4000) AS load, count(*) FILTER (event_type = 'error') / count(*) AS errors FROM events GROUP BY 1)
+SELECT user_id, round(load, 4) AS load, CASE WHEN errors > 0.25 THEN 'regressed' WHEN load > 0.4 THEN 'throttle' ELSE 'proceed' END AS decision FROM r""")
+def i9_policy_decision(t: Tables) -> DataFrame:
+    """Pressure, guardrail and placement in one verdict for each user."""
+    load = F.least(F.lit(1.0), F.sum("value") / 4000)
+    r = t.events.groupBy("user_id").agg(load.alias("load"), (F.count_if(F.col("event_type") == "error") / F.count("*")).alias("errors"))
+    return r.select("user_id", F.round("load", 4).alias("load"), F.when(F.col("errors") > 0.25, "regressed").when(F.col("load") > 0.4, "throttle").otherwise("proceed").alias("decision"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_returnflag <> 'R' AND coalesce(CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_quantity / 25 END > 1, true)) AS usable FROM lineitem")
+def z12_strategy_usable(t: Tables) -> DataFrame:
+    speedup = F.when(F.col("l_linestatus") == "O", None).otherwise(F.col("l_quantity") / 25)
+    return t.lineitem.select("l_orderkey", "l_linenumber", p.strategy_usable(F.col("l_returnflag") != "R", speedup).alias("usable"))

@@ -121,3 +121,28 @@ def t16_parity(t: Tables) -> DataFrame:
 def t18_collectable(t: Tables) -> DataFrame:
     leases = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("expires_at"))
     return x.collectable(t.customer.select("c_custkey"), leases, "c_custkey", F.lit("1998-06-01").cast("timestamp"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT p_partkey + 100000, p_name FROM part WHERE p_partkey % 50 = 1")
+def t10_what_if(t: Tables) -> DataFrame:
+    """Proposed adds, updates and removals over a table that stays as it is."""
+    base = t.part.select("p_partkey", F.col("p_name").alias("name"))
+    updates = base.where("p_partkey % 3 = 0 AND p_partkey % 7 <> 0").withColumn("name", F.upper("name"))
+    adds = base.where("p_partkey % 50 = 1").withColumn("p_partkey", F.col("p_partkey") + 100000)
+    removed = base.where("p_partkey % 7 = 0").select("p_partkey")
+    rows = updates.unionByName(adds)
+    return x.overlay(base, rows.select("p_partkey").unionByName(removed), rows, "p_partkey")
+
+
+@query("SELECT p_partkey, 'changed_and_deleted' AS reason FROM part WHERE p_partkey % 6 = 0 AND p_partkey % 4 = 0")
+def t12_guarded_delta(t: Tables) -> DataFrame:
+    """What a delta may not do: change and delete one key."""
+    changed, deleted = t.part.where("p_partkey % 6 = 0"), t.part.where("p_partkey % 4 = 0")
+    return changed.join(deleted.select("p_partkey"), "p_partkey", "left_semi").select("p_partkey", F.lit("changed_and_deleted").alias("reason"))
+
+
+@query("SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS total, max(o_orderkey) AS generation FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
+def t8_generation_read(t: Tables) -> DataFrame:
+    """The newest write of each slot wins."""
+    writes = t.orders.where("o_orderstatus <> 'F'").select("o_custkey", F.col("o_orderkey").alias("generation"), F.col("o_totalprice").alias("total"))
+    return x.latest(writes, ["o_custkey"], "generation").select("o_custkey", "total", "generation")

@@ -96,3 +96,32 @@ def v11_quality(t: Tables) -> DataFrame:
     ranked = pairs.withColumn("rank", F.expr("row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id)")).where("rank <= 20")
     out = v.quality(ranked, "q", "rank", "rel", totals)
     return out.select("q", *[F.round(c, 6).alias(c) for c in ("recall_10", "precision_10", "ndcg_10", "mrr")])
+
+
+@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 5) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q}) DESC, vec_id LIMIT 10")
+def v10_lane_exact(t: Tables) -> DataFrame:
+    return v.lane_search(t.embeddings, QUERY, "vec_id", "embedding", "Q0", 10).select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query()
+def v10_lane_rerank(t: Tables) -> DataFrame:
+    """4-bit candidates, exact scores.  No SQL: ties of approximate scores depend on the order of sums."""
+    return v.lane_search(t.embeddings, QUERY, "vec_id", "embedding", "Q2b", 10).select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query()
+def v8_quantise_hadamard(t: Tables) -> DataFrame:
+    """Largest error of a round trip, in steps of the scale; tests bound it."""
+    x = vector.doubles(F.col("embedding"))
+    q = t.embeddings.select("vec_id", x.alias("x"), v.quantise_hadamard(x, DIM, 5).alias("q"))
+    error = F.array_max(F.zip_with("x", v.dequantise_hadamard(F.col("q"), DIM, 5), lambda a, b: F.abs(a - b)))
+    return q.select("vec_id", F.round(error / F.col("q.scale"), 4).alias("error_steps"))
+
+
+@query("""
+WITH m AS (SELECT label, count(*) / 100.0 AS coverage, CASE WHEN label % 3 = 0 THEN NULL ELSE label / 10.0 END AS recall FROM embeddings GROUP BY label)
+SELECT label, list_filter([CASE WHEN NOT coalesce(coverage >= 0.45, false) THEN 'coverage' END, CASE WHEN NOT coalesce(recall >= 0.4, false) THEN 'recall' END], lambda x: x IS NOT NULL) AS failed,
+ CASE WHEN coalesce(coverage >= 0.45, false) AND coalesce(recall >= 0.4, false) THEN 'PROMOTE' ELSE 'REJECT' END AS gate FROM m""")
+def v12_promotion(t: Tables) -> DataFrame:
+    m = t.embeddings.groupBy("label").agg((F.count("*") / 100).alias("coverage")).withColumn("recall", F.when(F.col("label") % 3 == 0, None).otherwise(F.col("label") / 10))
+    return v.promotion(m, {"coverage": 0.45, "recall": 0.4}).select("label", "failed", "gate")
