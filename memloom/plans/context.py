@@ -9,13 +9,12 @@ from .registry import Tables, query
 
 
 @query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE source = 'src1'),
-s AS (SELECT *, strlen(line) AS bytes, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY n) AS cum_bytes FROM l WHERE n <= 5)
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+s AS (SELECT *, strlen(line) AS bytes, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY n) AS cum_bytes FROM l)
 SELECT doc_id, n AS line_no, bytes, cum_bytes, least(bytes, greatest(0, 400 - (cum_bytes - bytes))) AS kept_bytes, CAST(ceil(least(bytes, greatest(0, 400 - (cum_bytes - bytes))) / 4.0) AS BIGINT) AS tokens FROM s WHERE cum_bytes - bytes < 400""")
 def c1_line_context(t: Tables) -> DataFrame:
-    """The first lines of each document in a byte budget; the last one is cut to what is left."""
-    docs = t.documents.where("source = 'src1'")
-    lines = docs.select("doc_id", F.posexplode(F.slice(text.lines(F.col("text")), 1, 5)).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("line_no"), F.octet_length("line").alias("bytes"))
+    """The lines of each document in a byte budget; the last one is cut to what is left."""
+    lines = t.documents.select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("line_no"), F.octet_length("line").alias("bytes"))
     w = "sum(bytes) OVER (PARTITION BY doc_id ORDER BY line_no)"
     out = lines.withColumn("cum_bytes", F.expr(w)).withColumn("kept_bytes", F.least("bytes", F.greatest(F.lit(0), 400 - (F.col("cum_bytes") - F.col("bytes")))))
     return out.where("cum_bytes - bytes < 400").withColumn("tokens", text.estimated_tokens(F.col("kept_bytes")))
@@ -77,21 +76,21 @@ def c10_score_floor(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'metadata' WHEN 1 THEN 'summary' ELSE 'exact' END AS level, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN left(text, 160) ELSE text END AS body FROM documents WHERE source = 'src2'),
+WITH b AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'metadata' WHEN 1 THEN 'summary' ELSE 'exact' END AS level, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN left(text, 160) ELSE text END AS body FROM documents),
 r AS (SELECT doc_id, level, length(body) AS size, sum(length(body)) OVER (ORDER BY doc_id) AS cum_size FROM b) SELECT doc_id, level, size, cum_size FROM r WHERE cum_size <= 20000""")
 def c11_fidelity(t: Tables) -> DataFrame:
     i = F.col("doc_id") % 3
     level = F.when(i == 0, "metadata").when(i == 1, "summary").otherwise("exact")
-    spans = t.documents.where("source = 'src2'").select("doc_id", level.alias("level"), F.length(c.fidelity(F.col("text"), level)).alias("size"))
+    spans = t.documents.select("doc_id", level.alias("level"), F.length(c.fidelity(F.col("text"), level)).alias("size"))
     return c.prefix_stop(spans, [F.col("doc_id")], {"size": 20000}, candidates=10000).select("doc_id", "level", "size", "cum_size")
 
 
-@query("SELECT id, type, n FROM (SELECT doc_id AS id, 'code' AS type, n_chars AS n FROM documents WHERE doc_id < 50 UNION ALL SELECT page_id, 'knowledge', length(html) FROM pages WHERE page_id < 50 UNION ALL SELECT event_id, 'operations', length(props) FROM events WHERE event_id < 50)")
+@query("SELECT id, type, n FROM (SELECT doc_id AS id, 'code' AS type, n_chars AS n FROM documents UNION ALL SELECT page_id, 'knowledge', length(html) FROM pages UNION ALL SELECT event_id, 'operations', length(props) FROM events)")
 def c13_union_sources(t: Tables) -> DataFrame:
     parts = [
-        t.documents.where("doc_id < 50").select(F.col("doc_id").alias("id"), F.lit("code").alias("type"), F.col("n_chars").cast("long").alias("n")),
-        t.pages.where("page_id < 50").select(F.col("page_id").alias("id"), F.lit("knowledge").alias("type"), F.length("html").cast("long").alias("n")),
-        t.events.where("event_id < 50").select(F.col("event_id").alias("id"), F.lit("operations").alias("type"), F.length("props").cast("long").alias("n")),
+        t.documents.select(F.col("doc_id").alias("id"), F.lit("code").alias("type"), F.col("n_chars").cast("long").alias("n")),
+        t.pages.select(F.col("page_id").alias("id"), F.lit("knowledge").alias("type"), F.length("html").cast("long").alias("n")),
+        t.events.select(F.col("event_id").alias("id"), F.lit("operations").alias("type"), F.length("props").cast("long").alias("n")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -114,18 +113,18 @@ def c16_redact(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'changed text ' || doc_id ELSE text END AS text FROM documents WHERE NOT (doc_id % 6 = 3) AND source = 'src3'),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM d), s AS (SELECT doc_id, line_no, strlen(line) AS bytes, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY line_no) AS cum_bytes FROM l WHERE line_no <= 4)
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'changed text ' || doc_id ELSE text END AS text FROM documents WHERE NOT (doc_id % 6 = 3)),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM d), s AS (SELECT doc_id, line_no, strlen(line) AS bytes, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY line_no) AS cum_bytes FROM l)
 SELECT * FROM s WHERE cum_bytes <= 500""")
 def c3_overlay_context(t: Tables) -> DataFrame:
     """Lines in a byte budget over a base with an overlay: changed texts replace, tombstones remove."""
     from ..operators.temporal import overlay
 
-    base = t.documents.where("source = 'src3'").select("doc_id", "text")
+    base = t.documents.select("doc_id", "text")
     changed = base.where("doc_id % 3 = 0").select("doc_id")
     rows = base.where("doc_id % 6 = 0").select("doc_id", F.concat(F.lit("changed text "), "doc_id").alias("text"))
     merged = overlay(base, changed, rows, "doc_id")
-    lines = merged.select("doc_id", F.posexplode(F.slice(text.lines(F.col("text")), 1, 4)).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("line_no"), F.octet_length("line").alias("bytes"))
+    lines = merged.select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("line_no"), F.octet_length("line").alias("bytes"))
     return c.prefix_stop(lines, [F.col("line_no")], {"bytes": 500}, ["doc_id"]).select("doc_id", "line_no", "bytes", "cum_bytes")
 
 
@@ -143,8 +142,8 @@ def c7_knowledge_context(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT doc_id, n_chars AS bytes, row_number() OVER (ORDER BY doc_id) AS rank, sum(n_chars) OVER (ORDER BY doc_id) AS cum_bytes FROM documents WHERE doc_id % 9 = 4 AND doc_id < 500) SELECT doc_id, cum_bytes FROM e WHERE rank <= 25 AND cum_bytes <= 40000""")
+WITH e AS (SELECT doc_id, n_chars AS bytes, row_number() OVER (ORDER BY doc_id) AS rank, sum(n_chars) OVER (ORDER BY doc_id) AS cum_bytes FROM documents) SELECT doc_id, cum_bytes FROM e WHERE rank <= 25 AND cum_bytes <= 40000""")
 def c12_bounded_resolve(t: Tables) -> DataFrame:
     """Handles in request order until entries or bytes run out."""
-    asked = t.documents.where("doc_id % 9 = 4 AND doc_id < 500").select("doc_id", F.col("n_chars").alias("bytes"), F.lit(1).alias("entries"))
+    asked = t.documents.select("doc_id", F.col("n_chars").alias("bytes"), F.lit(1).alias("entries"))
     return c.prefix_stop(asked, [F.col("doc_id")], {"bytes": 40000, "entries": 25}, candidates=1000).select("doc_id", "cum_bytes")

@@ -82,10 +82,10 @@ def i5_pressure(t: Tables) -> DataFrame:
     return p.pressure(m, ["user_id"])
 
 
-@query("SELECT s_suppkey, round(s_suppkey % 10 + 35 * (s_suppkey % 7) / 7.0 + 25 * (s_suppkey % 5) / 5.0 + 10 * (s_suppkey % 3) / 3.0, 6) AS score FROM supplier ORDER BY s_suppkey % 10 + 35 * (s_suppkey % 7) / 7.0 + 25 * (s_suppkey % 5) / 5.0 + 10 * (s_suppkey % 3) / 3.0, s_suppkey LIMIT 1000")
+@query("SELECT s_suppkey, round(s_suppkey % 10 + 35 * (s_suppkey % 7) / 7.0 + 25 * (s_suppkey % 5) / 5.0 + 10 * (s_suppkey % 3) / 3.0, 6) AS score FROM supplier ORDER BY s_suppkey % 10 + 35 * (s_suppkey % 7) / 7.0 + 25 * (s_suppkey % 5) / 5.0 + 10 * (s_suppkey % 3) / 3.0, s_suppkey")
 def i6_placement(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
-    return t.supplier.select(k, F.round(p.placement_score(k % 10, k % 7 / 7, k % 5 / 5, k % 3 / 3), 6).alias("score")).orderBy("score", "s_suppkey").limit(1000)
+    return t.supplier.select(k, F.round(p.placement_score(k % 10, k % 7 / 7, k % 5 / 5, k % 3 / 3), 6).alias("score")).orderBy("score", "s_suppkey")
 
 
 STRATEGIES = "SELECT l_orderkey, l_linenumber AS preference, l_returnflag <> 'R' AS supported, CASE WHEN l_linestatus = 'O' THEN NULL ELSE 0.5 + l_quantity / 20 END AS speedup FROM lineitem"

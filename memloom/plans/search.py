@@ -109,9 +109,9 @@ def q12_key_lookup(t: Tables) -> DataFrame:
     return t.documents.where(F.col("doc_id") == 42).select("doc_id", "lang", "source")
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id > 900 AND event_id <= 1100")
+@query("SELECT event_id, event_type FROM events WHERE event_id > 900")
 def q13_events_since(t: Tables) -> DataFrame:
-    return s.events_since(t.events.where("event_id <= 1100"), "event_id", 900, 500).select("event_id", "event_type")
+    return s.events_since(t.events, "event_id", 900, 100_000_000).select("event_id", "event_type")
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 AND role = 'user'")
@@ -120,14 +120,11 @@ def q14_attempts(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)
-SELECT page_id, (NOT (starts_with(path, '/') OR regexp_matches(path, '(^|/)\\.\\.(/|$)') OR regexp_matches(path, '^[A-Za-z]:')) AND (regexp_matches(path, '^[^/]+\\.example\\.com/') )) AS permitted
-FROM p WHERE contains(path, '.example.com/')""")
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS path FROM pages)
+SELECT page_id, NOT (starts_with(path, '/') OR regexp_matches(path, '(^|/)\\.\\.(/|$)') OR regexp_matches(path, '^[A-Za-z]:')) AND (path IN ('en', 'fr') OR starts_with(path, 'en/') OR starts_with(path, 'fr/')) AS permitted FROM p""")
 def q15_permitted(t: Tables) -> DataFrame:
-    path = F.regexp_replace("url", "^[a-z]+://", "")
-    host = F.regexp_extract(path, r"^([^/]+\.example)\.com/", 1)
-    p = t.pages.select("page_id", F.concat(F.lit("site/"), host, F.substring_index(path, ".example", -1)).alias("p"), path.alias("path")).where(F.col("path").contains(".example.com/"))
-    return p.select("page_id", s.permitted(F.col("p"), ["site"]).alias("permitted"))
+    path = F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1)
+    return t.pages.select("page_id", s.permitted(path, ["en", "fr"]).alias("permitted"))
 
 
 @query("SELECT conv_id, turn, (role <> 'system' AND CASE WHEN role = 'assistant' THEN 'implementer' ELSE 'shared' END <> 'implementer') AS shown FROM conversations")
@@ -143,10 +140,10 @@ def s16_page_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", part.alias("part"), following.alias("next_offset"), eof.alias("eof"))
 
 
-@query("SELECT doc_id, (n_chars - 1) // 64 AS last_page, substring(text, 65, 128) AS bytes FROM documents WHERE n_chars > 200")
+@query("SELECT doc_id, (n_chars - 1) // 64 AS last_page, substring(text, 65, 128) AS bytes FROM documents")
 def z6_segment_pages(t: Tables) -> DataFrame:
     first, last = s.page_span(64, 128, 64)
-    return t.documents.where("n_chars > 200").select("doc_id", F.expr("(n_chars - 1) div 64").alias("last_page"), F.substring("text", first * 64 + 1, (last - first + 1) * 64).alias("bytes"))
+    return t.documents.select("doc_id", F.expr("(n_chars - 1) div 64").alias("last_page"), F.substring("text", first * 64 + 1, (last - first + 1) * 64).alias("bytes"))
 
 
 @query("""

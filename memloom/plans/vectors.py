@@ -38,9 +38,9 @@ def v1_exact_cosine(t: Tables) -> DataFrame:
     return v.exact(t.embeddings, QUERY, "vec_id", "embedding", "cosine", 20).select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query(f"SELECT vec_id, {ROTATE.format('embedding::DOUBLE[]')} AS rotated FROM embeddings WHERE vec_id < 50")
+@query(f"SELECT vec_id, {ROTATE.format('embedding::DOUBLE[]')} AS rotated FROM embeddings")
 def v2_rotate(t: Tables) -> DataFrame:
-    return t.embeddings.where("vec_id < 50").select("vec_id", vector.rotate(vector.doubles(F.col("embedding")), DIM, 7).alias("rotated"))
+    return t.embeddings.select("vec_id", vector.rotate(vector.doubles(F.col("embedding")), DIM, 7).alias("rotated"))
 
 
 QUANT = f"""SELECT vec_id, scale, list_transform(e, lambda z: CAST(greatest(-8, least(7, {HALF_AWAY.format('(z / scale)')})) AS INT)) AS codes FROM (SELECT vec_id, e, CASE WHEN {PEAK.format('e')} = 0 THEN 1.0 ELSE {PEAK.format('e')} / 7 END AS scale FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))"""
@@ -66,10 +66,10 @@ def v6_two_stage(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT vec_id, list_transform(range(0, {DIM}), lambda i: round(list_sum(list_transform(range(1, {DIM + 1}), lambda j: embedding[j]::DOUBLE * CASE WHEN bit_count((i & (j - 1))::INT) % 2 = 0 THEN 1 ELSE -1 END)) / 8, 4) + 0.0) AS h FROM embeddings WHERE vec_id < 20""")
+SELECT vec_id, list_transform(range(0, {DIM}), lambda i: round(list_sum(list_transform(range(1, {DIM + 1}), lambda j: embedding[j]::DOUBLE * CASE WHEN bit_count((i & (j - 1))::INT) % 2 = 0 THEN 1 ELSE -1 END)) / 8, 4) + 0.0) AS h FROM embeddings""")
 def v7_fwht(t: Tables) -> DataFrame:
     h = vector.fwht(vector.doubles(F.col("embedding")), DIM)
-    return t.embeddings.where("vec_id < 20").select("vec_id", F.transform(h, lambda y: F.round(y, 4) + 0.0).alias("h"))
+    return t.embeddings.select("vec_id", F.transform(h, lambda y: F.round(y, 4) + 0.0).alias("h"))
 
 
 @query(f"""
