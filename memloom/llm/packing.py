@@ -32,6 +32,8 @@ from . import tokens, words
 from .common import saved
 
 CAPACITY = 4096
+#: Text handled at once in a worker.
+CHUNK = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary, task int, nth long"
 PLAN = "length long, lo long, hi long, sequence_id long, offset long"
 
@@ -171,7 +173,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
     encoder, task = tokens.encoder(path, end_id), TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, np.int64)
     for batch in batches:
-        for part in words.chunks(batch, "text"):
+        for part in words.chunks(batch, "text", CHUNK):
             ids, at = encoder.encode(part.column("text"))
             sizes = np.diff(at)
             n = np.maximum(1, -(-sizes // capacity))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from . import words
 
 #: Words whose ids a worker keeps; when there are more, it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 def default_path() -> str:
@@ -76,7 +76,7 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.ends = self._ends()
         self.ascii = self._ascii_words(path)
-        self._clear()
+        self.clear()
 
     def _ends(self) -> np.ndarray | None:
         """Whether an id ends a word; None for a tokenizer without word-end marks."""
@@ -100,7 +100,7 @@ class WordEncoder:
         plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         return plain
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         end = [] if self.end_id is None else [self.end_id]
         self.flat, self.used = np.zeros(1 << 21, np.uint32), len(end)
@@ -152,7 +152,7 @@ class WordEncoder:
         w = words.split(_simpler(texts))
         distinct = w.distinct.to_pylist()
         if len(self.place) + len(distinct) > self.cache_words:
-            self._clear()
+            self.clear()
         found = list(map(self.place.get, distinct))
         if missing := [i for i, x in enumerate(found) if x is None]:
             self._add([distinct[i] for i in missing])
@@ -175,11 +175,15 @@ class WordEncoder:
 _ENCODERS: dict[tuple[str, int | None], WordEncoder] = {}
 
 
-def encoder(path: str, end_id: int | None = 1) -> WordEncoder:
+def encoder(path: str, end_id: int | None = 1, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """One encoder for each Python worker; its cache lasts from task to task."""
     if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+        _ENCODERS[path, end_id] = WordEncoder(path, end_id, cache_words)
+    found = _ENCODERS[path, end_id]
+    if found.cache_words != cache_words:
+        found.cache_words = cache_words
+        found.clear()
+    return found
 
 
 def blobs(ids: np.ndarray, at: np.ndarray, dtype: str = "<u4") -> pa.Array:

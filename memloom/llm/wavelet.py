@@ -41,6 +41,8 @@ PLANE = struct.Struct("<IQ")
 BLOCK = 512
 #: Tokens after which a shard ends; it still takes the whole of its last document.
 SHARD_TOKENS = 1 << 20
+#: A task here also codes its tokens, so that fewer words are to be encoded twice.
+CACHE_WORDS = 1_000_000
 
 SHARDS = "part int, shard int, n_docs long, n_tokens long, doc_ids array<long>, payload binary"
 DOCUMENTS = "part int, shard int, doc_id long, within long, n_tokens long, ids binary"
@@ -156,7 +158,7 @@ class WaveletMatrix:
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, shard = tokens.encoder(path, end_id), TaskContext.get().partitionId(), 0
+    encoder, part, shard = tokens.encoder(path, end_id, CACHE_WORDS), TaskContext.get().partitionId(), 0
     levels = (encoder.vocabulary - 1).bit_length()
     docs: list[np.ndarray] = []
     held: list[np.ndarray] = []

@@ -7,6 +7,8 @@ Arrow splits and dictionary-encodes it, and Python only sees distinct words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +20,15 @@ import xxhash
 #: Text handled at once inside one Python worker; bounds its memory whatever the batch size.
 CHUNK_BYTES = 8 << 20
 
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _U64 = np.uint64
 _MIX_1, _MIX_2 = _U64(0xBF58476D1CE4E5B9), _U64(0x94D049BB133111EB)
 
@@ -35,6 +46,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 @dataclass
