@@ -146,7 +146,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     spark = docs.sparkSession
     if not 0 < anchor <= width:
         raise ValueError("anchor_exceeds_width")
-    repeated = _path_rows(docs, width, anchor, False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Aggregates are stored before they are joined: a join of two plain exchanges is one that adaptive
+    # execution can split where an anchor is hot.
+    repeated = saved(_path_rows(docs, width, anchor, False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     paths = saved(_path_rows(docs, width, anchor, True).join(repeated, "anchor"), "paths")
     release(spark)
     firsts = saved(paths.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "place")).alias("src"), F.max("size").alias("size")), "contents")
@@ -156,7 +158,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     opened = firsts.join(branching, "anchor").select("src.doc_id", "src.place")
     windows = saved(_windows_of(docs, opened, width, anchor), "windows")
     release(spark)
-    least = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "place")).alias("src"), F.count("*").alias("n")).where("n > 1")
+    least = saved(windows.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "place")).alias("src"), F.count("*").alias("n")).where("n > 1"), "least")
     again = windows.join(least, ["anchor", "window"]).where(~(F.struct("doc_id", "place").eqNullSafe(F.col("src"))))
     single = again.select("doc_id", "place", F.lit(width).alias("words"), F.col("src.doc_id").alias("src_doc"), F.col("src.place").alias("src_place"))
     return whole.unionByName(single)
