@@ -55,7 +55,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     ordered = saved(found, "lines").repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "row", "pos")
     # The ranges keep (h1, h2, doc_id) together, so this needs no exchange.
     held = ordered.groupBy("h1", "h2", "doc_id").agg(F.collect_list(F.struct("row", "pos")).alias("places"))
-    repeated = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # Stored before it is joined: adaptive execution splits a hot key only between two plain exchanges.
+    repeated = saved(held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "repeated")
     lost = held.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", F.explode("places").alias("place"))
     gone = lost.groupBy("doc_id", F.col("place.row").alias("row")).agg(F.array_sort(F.collect_set("place.pos")).alias("gone"))
     runs = F.zip_with(F.array_prepend("gone", F.lit(-1)), F.array_append("gone", F.lit(_OPEN_END)), lambda a, b: F.struct((a + 1).alias("first"), (b - a - 1).alias("count")))
