@@ -242,7 +242,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     classes = sketches.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
     classes = saved(classes, "classes")
     index = classes.select("rep", "signature").mapInArrow(_index, "key long, rep long")
-    shared = index.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
+    # Aggregates are stored before they are joined: adaptive execution splits a hot key only between two plain exchanges.
+    shared = saved(index.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"), "shared")
     buckets = saved(index.join(shared, "key"), "buckets")
     release(spark)
 
@@ -260,7 +261,7 @@ def cluster(docs: DataFrame) -> DataFrame:
 
     member = buckets.select("key", "rep").join(first.select(F.col("u").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     member = saved(member, "members")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = saved(member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
     rest = member.join(mixed, "key").join(sizes.withColumnRenamed("r", "rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     fine = saved(texts.join(rest.select("rep").distinct(), "rep").select("rep", "text").mapInArrow(_fine, "rep long, fine binary"), "fine")
     # A block meets itself and every other block of its bucket: one block, one group, in all but hot buckets.
