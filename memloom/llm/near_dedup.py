@@ -278,3 +278,26 @@ def cluster(docs: DataFrame) -> DataFrame:
     linked = sketches.where("n_shingles > 0").join(whole, ["h1", "h2"]).select("doc_id", "n_shingles", "root")
     back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
     return linked.unionAll(alone).select(back("doc_id").alias("doc_id"), "n_shingles", back("root").alias("component_id"), (F.col("doc_id") == F.col("root")).alias("kept"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM split WHERE len(w) BETWEEN 1 AND 4
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a
+), least AS (
+  SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1
+)
+SELECT l.doc_id, coalesce(s.n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept FROM least l LEFT JOIN size s ON l.doc_id = s.doc_id
+"""

@@ -65,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_minhash_near_dedup": near_dedup.ORACLE_SQL, "op3_quality_rules": quality.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
