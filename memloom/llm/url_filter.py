@@ -89,7 +89,8 @@ def judge(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_c
         sets = matched.where("ruled IS NULL").select("tokens").distinct()
         hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
         order = F.struct("confidence", "support", F.size("antecedent").alias("n"), F.col("learned"), F.col("antecedent"))
-        best = hits.groupBy("tokens").agg(F.max(order).alias("b")).select("tokens", "b.learned", "b.confidence", F.col("b.antecedent").alias("learned_from"))
+        # Stored before it is joined: adaptive execution splits a hot token set only between two plain exchanges.
+        best = saved(hits.groupBy("tokens").agg(F.max(order).alias("b")).select("tokens", "b.learned", "b.confidence", F.col("b.antecedent").alias("learned_from")), "best")
     judged = matched.where("ruled IS NULL").join(best, "tokens", "left")
     by_rule = labelled.select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("array<string>").alias("learned_from"), F.lit(None).cast("double").alias("confidence"))
     return by_rule.unionByName(judged.select("page_id", "host", "path", "rule", F.coalesce("learned", F.lit("allow")).alias("verdict"), "learned_from", "confidence"))
