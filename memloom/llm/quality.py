@@ -26,9 +26,9 @@ from .common import saved
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: A line is boilerplate when more documents of its host hold it than both limits allow.
-MAX_DOCS, MAX_SHARE = 20, 0.002
-#: A document is depleted when less than this part of its words is left.
-MIN_KEPT = 0.3
+MAX_DOCS, MAX_PER_MILLE = 20, 2
+#: A document is depleted when less of its words is left, in per cent.
+MIN_KEPT = 30
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -101,13 +101,14 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return slim.withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(_measure, SCHEMA)
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_per_mille: int = MAX_PER_MILLE, min_kept: int = MIN_KEPT) -> DataFrame:
     """One row for each document: its counts, n_boilerplate (words in lines above the limits), base_failed, kept."""
     measured = saved(measure(docs, host), "measured")
     lines = measured.select("doc_id", "row", "host", F.explode("lines").alias("line")).select("doc_id", "row", "host", "line.*")
     size = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
     common = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    common = common.join(size, common.host.eqNullSafe(size.host)).where(F.col("n") > max_share * F.col("host_docs")).select(common.host.alias("c_host"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+    common = common.join(size, common.host.eqNullSafe(size.host)).where(1000 * F.col("n") > max_per_mille * F.col("host_docs")).select(common.host.alias("c_host"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+    common = saved(common, "common")  # so that adaptive execution can split a hot line in the join below
     hit = lines.join(common, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("host").eqNullSafe(F.col("c_host")))
     # Rows that are the same in all of doc_id, host and text meet here, each with its lines once: a line counts once for them.
     hit = hit.groupBy("doc_id", "row", "host", "h1", "h2").agg(F.max("words").alias("words"))
@@ -119,6 +120,33 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_s
     return (
         out.withColumn("n_boilerplate", gone)
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("n_words") - gone >= min_kept * F.col("n_words")))
+        .withColumn("kept", ~failed & (100 * (F.col("n_words") - gone) >= min_kept * F.col("n_words")))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate", "base_failed", "kept")
     )
+
+
+ORACLE_SQL = r"""
+WITH split AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) >= 5)
+), twice AS (
+  SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM places) WHERE c > 1) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, source, line, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM split)
+), dups AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS r FROM lines WHERE len(lw) > 0) WHERE r > 1 GROUP BY doc_id
+), norm AS (
+  SELECT doc_id, source, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k, sum(len(lw)) AS n FROM lines WHERE len(lw) > 0 GROUP BY 1, 2, 3
+), common AS (
+  SELECT source, k FROM norm JOIN (SELECT source AS s, count(*) AS docs FROM documents GROUP BY 1) ON source = s GROUP BY source, k, docs HAVING count(*) > 20 AND 1000 * count(*) > 2 * docs
+), lost AS (
+  SELECT doc_id, sum(n) AS n FROM norm JOIN common USING (source, k) GROUP BY doc_id
+), base AS (
+  SELECT s.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(d.n, 0) AS n_dup_lines, coalesce(t.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_boilerplate
+  FROM split s LEFT JOIN dups d ON s.doc_id = d.doc_id LEFT JOIN twice t ON s.doc_id = t.doc_id LEFT JOIN lost l ON s.doc_id = l.doc_id
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - n_boilerplate) >= 30 * n_words AS kept FROM base
+"""

@@ -113,7 +113,7 @@ def test_boilerplate_is_counted_by_host(spark):
     own = lambda k: " ".join(f"own{k}_{i}" for i in range(12))
     common = " ".join(f"Common{i}" for i in range(60))
     rows = [(k, "a", f"{own(k)}\n{common}") for k in range(4)] + [(10 + k, "b", f"{own(k)}\n {common.lower()}\n{common}") for k in range(2)] + [(20, "a", own(20))]
-    got = {r.doc_id: (r.n_boilerplate, r.kept) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, source string, text string"), max_docs=3, max_share=0.5).collect()}
+    got = {r.doc_id: (r.n_boilerplate, r.kept) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, source string, text string"), max_docs=3, max_per_mille=500).collect()}
     assert got == {**{k: (60, False) for k in range(4)}, 10: (0, True), 11: (0, True), 20: (0, True)}
 
 
