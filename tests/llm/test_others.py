@@ -186,6 +186,31 @@ def test_toxicity_finds_marked_words_and_reads_no_held_out_label(spark):
     assert kept == {i for i, x in got.items() if not x.predicted}
 
 
+def test_toxicity_keeps_words_apart_that_shared_a_bucket_and_does_not_depend_on_the_head(spark, monkeypatch):
+    """"nice..." fell into the bucket of "vilefool" when words were hashed into 2**19 - 1 of them."""
+    import xxhash
+
+    bucket = lambda x: xxhash.xxh3_64_intdigest(x.encode()) % ((1 << 19) - 1)
+    nice = next(x for x in map("nice{}".format, range(1 << 24)) if bucket(x) == bucket("vilefool"))
+    r = random.Random(7)
+    common = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        w = [r.choice(common) for _ in range(60)]
+        w[r.randrange(60)] = "vilefool" if i % 5 == 0 else nice
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, nice), (1001, "vilefool"), (1002, "vilenever"), (1003, "zzznever")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    key = lambda x: (x.doc_id, x.score, x.whole, x.positive, x.top)
+    got = {x.doc_id: x for x in toxicity.score(docs, labels).collect()}
+    assert got[1000].whole == toxicity.FLOOR and got[1001].whole > 1
+    assert got[1001].whole > got[1002].whole > got[1003].whole == 0  # an unseen word is judged by its stem
+    for size in (0, 200):
+        monkeypatch.setattr(toxicity, "HEAD", size)
+        again = sorted(toxicity.score(docs, labels).collect(), key=key)
+        assert list(map(key, again)) == sorted(map(key, got.values()))
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     s = "doc_id long, quality int, toxic int"
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1), (4, 1, 0), (5, None, None), (None, 1, 1), (7, 0, 0)], s)
