@@ -15,14 +15,16 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a local master gets a temporary folder and any other the warehouse."""
+    Where it is unset, a local master gets a temporary folder and a cluster an error: its executors
+    could not read a machine-local one."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        _OWN[app] = tempfile.mkdtemp(prefix="memloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir_must_name_a_shared_folder")
+        _OWN[app] = tempfile.mkdtemp(prefix="memloom-")
     return _OWN[app]
 
 
@@ -36,12 +38,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: lineage ends here, and a lost
-    executor costs nothing that came before.  The files go when the program ends."""
+    executor costs nothing that came before.  The files go with ``free``, or when the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memloom-{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._memloom_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes the files of ``saved`` tables that nothing will read any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._memloom_path)
 
 
 def partitions(spark: SparkSession) -> int:

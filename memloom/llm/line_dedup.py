@@ -1,10 +1,12 @@
 """Line dedup: long lines that many documents hold stay in one of them.
 
-Lines are hashed (128 bits) and range-partitioned by hash and document, so that a line held by a
-third of all documents is spread over many tasks, with a secondary sort by document and position.
-One streaming pass over the sorted rows meets each line's documents in order; the first one (the
-largest doc_id) keeps the line.  Decisions come back as compressed keep bitmaps: runs of kept line
-numbers for each document, never text.
+Lines are hashed (128 bits) and range-partitioned by hash and slice, where a slice is a range of
+doc_ids: a line held by a third of all documents is spread over many tasks.  A secondary sort by
+document (largest first) and position lets one streaming window over the ranges, without another
+exchange, meet each line's documents in order and mark the first occurrence in each of them.  The marks
+alone say how many documents hold a line and which keeps it: the marks of a line's slices are added,
+and the largest marked document is the keeper.  Decisions come back as compressed keep bitmaps:
+runs of kept line numbers for each document, never text.
 
 DataFrame functions only.  Defined results: a null or empty text is one empty line; rows with the
 same doc_id count as one document but are judged by their own text; a null doc_id is the smallest;
@@ -13,10 +15,10 @@ an empty table gives empty results; other columns pass through ``apply``, but fo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import free, partitions, saved
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,6 +40,22 @@ def _row(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """``lines`` (h1, h2, doc_id, row, pos) with ``slice`` and ``first``: the first line of its document in the stream.
+
+    Slices grow as doc_ids fall, so the order of (h1, h2, slice) and doc_id is that of (h1, h2) and doc_id.
+    Null doc_ids are one document and have a slice of their own, the last."""
+    n = partitions(lines.sparkSession)
+    low, high = lines.agg(F.min("doc_id"), F.max("doc_id")).first()
+    span = max((high or 0) - (low or 0), 1)
+    slice_ = F.when(F.col("doc_id").isNull(), F.lit(n + 1)).otherwise(((F.lit(float(high or 0)) - F.col("doc_id").cast("double")) / (span / n)).cast("int"))
+    order = ["h1", "h2", "slice", F.desc_nulls_last("doc_id"), "row", "pos"]
+    ordered = lines.withColumn("slice", slice_).repartitionByRange(n, "h1", "h2", "slice").sortWithinPartitions(*order)
+    # The ranges keep (h1, h2, slice) together and their rows in this order: the window neither exchanges nor sorts.
+    stream = Window.partitionBy("h1", "h2", "slice").orderBy(F.desc_nulls_last("doc_id"), "row", "pos")
+    return ordered.withColumn("first", (F.row_number().over(stream) == 1) | ~F.col("doc_id").eqNullSafe(F.lag("doc_id").over(stream)))
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, row, n_dropped, kept: runs (first line number, how many) of kept lines; only of documents that lose a line."""
     long_lines = F.filter(
@@ -50,15 +68,15 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .select("doc_id", "row", "line.pos", fold(F.col("line.key")).alias("key"))
         .select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    order = ["h1", "h2", F.desc("doc_id")]
     # Stored first: the range partitioner samples its input, and would split all texts twice.
-    ordered = saved(found, "lines").repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "row", "pos")
-    # The ranges keep (h1, h2, doc_id) together, so this needs no exchange.
-    held = ordered.groupBy("h1", "h2", "doc_id").agg(F.collect_list(F.struct("row", "pos")).alias("places"))
+    lines = saved(found, "lines")
+    stream = saved(first_occurrences(lines), "stream")
+    free(lines)
     # Stored before it is joined: adaptive execution splits a hot key only between two plain exchanges.
-    repeated = saved(held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "repeated")
-    lost = held.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", F.explode("places").alias("place"))
-    gone = lost.groupBy("doc_id", F.col("place.row").alias("row")).agg(F.array_sort(F.collect_set("place.pos")).alias("gone"))
+    marks = stream.where("first").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    repeated = saved(marks.where(F.col("n") >= min_docs).select("h1", "h2", "keeper"), "repeated")
+    lost = stream.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "row", "pos")
+    gone = lost.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     runs = F.zip_with(F.array_prepend("gone", F.lit(-1)), F.array_append("gone", F.lit(_OPEN_END)), lambda a, b: F.struct((a + 1).alias("first"), (b - a - 1).alias("count")))
     return gone.select("doc_id", "row", F.size("gone").alias("n_dropped"), F.filter(runs, lambda r: r["count"] > 0).alias("kept"))
 
