@@ -236,6 +236,16 @@ def edit_distance(a, b):
     return min(row)
 
 
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
 def test_myers_equals_dynamic_programming():
     r = random.Random(2)
     for _ in range(200):
@@ -256,22 +266,43 @@ def test_every_item_within_its_budget_is_found(spark):
         around = [[r.choice(vocabulary) for _ in range(r.randint(0, 20))] for _ in range(2)]
         docs.append((k, " ".join(around[0] + [x.upper() + "," for x in w] + around[1])))
     words = {i: decontaminate.item_words(t) for i, t in items}
-    want = {d: sorted(i for i, w in words.items() if len(w) >= 8 and edit_distance(w, decontaminate.item_words(t)) <= decontaminate.budget(len(w))) for d, t in docs}
+    want = {d: sorted(i for i, w in words.items() if edit_distance(w, decontaminate.item_words(t)) <= decontaminate.budget(len(w))) for d, t in docs}
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {x.doc_id: list(x.item_ids) for x in decontaminate.report(frame, bench).collect()}
     assert got == want and any(want.values()) and not all(want.values())
-
-
-def test_items_in_blocks_and_odd_rows(spark, sf, docs, odd, empty, monkeypatch):
+    for x in decontaminate.find(frame, bench).collect():
+        for m in x.matches:  # the words between start and end are as near as the distance says
+            stretch = decontaminate.item_words(x.text)[m.start : m.end]
+            assert whole_distance(words[m.item_id], stretch) == m.distance == edit_distance(words[m.item_id], decontaminate.item_words(x.text))
+
+
+def test_hot_pieces_and_documents_with_many_bands(spark, monkeypatch):
+    """All items share a stem, and a document that repeats it is cut in several rows; a full sieve loses nothing."""
+    stem = " ".join(f"stem{i}" for i in range(10))
+    items = [(i, f"{stem} own{i} ends{i}") for i in range(40)] + [(7, f"{stem} other text under the same id")]
+    docs = [(1, " ".join(f"{stem} own{i} ends{i}" for i in range(0, 40, 3))), (2, stem + " x y"), (3, "stem0 stem1"), (None, items[5][1]), (None, items[5][1])]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + items[:2], "item_id long, text string")
+    words = [(i, decontaminate.item_words(t)) for i, t in items]
+    want = Counter((d, tuple(sorted({i for i, w in words if edit_distance(w, decontaminate.item_words(t)) <= decontaminate.budget(len(w))}))) for d, t in docs)
+    for bands, bits in ((4096, 27), (8, 12)):
+        monkeypatch.setattr(decontaminate, "BANDS", bands)
+        monkeypatch.setattr(decontaminate, "SIEVE_BITS", bits)
+        assert Counter((x.doc_id, tuple(x.item_ids)) for x in decontaminate.report(frame, bench).collect()) == want
+
+
+def test_items_of_odd_rows(spark, sf, docs, odd, empty):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    whole = Counter((x.doc_id, tuple(x.item_ids)) for x in decontaminate.report(docs, bench).collect())
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1500)
-    assert Counter((x.doc_id, tuple(x.item_ids)) for x in decontaminate.report(docs, bench).collect()) == whole
-    strange = spark.createDataFrame([(1, None), (2, ""), (None, "no id at all but long enough to count here"), (3, "too short")], "item_id long, text string")
+    strange = spark.createDataFrame([(1, None), (2, ""), (None, "no id at all but long enough to count here"), (3, "too short"), (4, "four words to match")], "item_id long, text string")
     assert not any(x.contaminated for x in decontaminate.report(odd, strange).collect())
     assert decontaminate.report(odd, strange).count() == odd.count()
     assert decontaminate.report(empty, bench).count() == 0
     assert not any(x.contaminated for x in decontaminate.report(odd, strange.limit(0)).collect())
+    assert {(x.item_id, x.n_words) for x in decontaminate.not_checked(strange).collect()} == {(1, 0), (2, 0), (3, 2)}
+    short = spark.createDataFrame([(1, "so: Four words, to MATCH!"), (2, "four words and to match")], "doc_id long, text string")
+    assert {x.doc_id: list(x.item_ids) for x in decontaminate.report(short, strange).collect()} == {1: [4], 2: []}
+    clash = odd.withColumn("_matches_0", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("found", F.lit("x")).withColumn("a.b", F.lit(3))
+    got = decontaminate.find(clash, strange)
+    assert sorted(got.columns) == sorted(clash.columns) and got.count() == clash.count()
 
 
 # -- pipeline ----------------------------------------------------------------------------------
@@ -297,10 +328,8 @@ def test_pipeline_stages_work_on_what_the_one_before_kept(spark, sf, path, tmp_p
     assert seen[0] == {d: t for d, t in texts.items() if d not in toxic} and toxic
     assert seen[1] == {k[0]: k[3] for k in dedup_lines(list(seen[0].items()))}
     assert set(seen[2]) == {d for d, v in brute(seen[1]).items() if v[2]} and len(seen[2]) < len(seen[1])
-    items = decontaminate.Items([(r.item_id, r.text) for r in bench.collect()])
-    import pyarrow as pa
-
-    found = dict(zip(seen[2], items.matches(pa.array(list(seen[2].values()), pa.string())), strict=True))
-    assert set(seen[3]) == {d for d, m in found.items() if not m} and len(seen[3]) < len(seen[2])
+    items = [decontaminate.item_words(r.text) for r in bench.collect()]
+    leaks = lambda t: any(decontaminate.myers(w, decontaminate.item_words(t))[0] <= decontaminate.budget(len(w)) for w in items)
+    assert set(seen[3]) == {d for d, t in seen[2].items() if not leaks(t)} and len(seen[3]) < len(seen[2])
     assert {r.doc_id for r in seen[4]} == set(seen[3])
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in p.run(spark, sf).collect()) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in seen[4])
