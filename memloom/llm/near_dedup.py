@@ -11,13 +11,16 @@ that may differ.  With 64 slots, 31 errors and a similarity of 0.75, one pair in
 * Star round: in each index bucket, all members are paired with the least one, not with each other.
   Pairs that pass are confirmed on full sets and give components.
 * Rest round: buckets that still hold two components or more are compared inside, in blocks, only
-  across components and only by a finer signature; what passes is confirmed on full sets.
+  across components.  Pairs within the distance are dropped only where the sets' counts by hash bin
+  prove an intersection too small (a bound, not an estimate); all others are confirmed on full sets.
 
 A hot class, bucket or component is thus an aggregate, a splittable join or blocks of bounded size.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own
-component; rows that share a doc_id are judged each by its own text; a null doc_id takes part as the
-least one and stays null; an empty table gives an empty result; other columns are ignored.
+component; rows that share a doc_id are one document with several texts (its links are those of all of
+them, its rows have one component_id, and each its own n_shingles); a null doc_id takes part as the
+least one and stays null; an empty table gives an empty result; other columns are ignored.  ``dedup``
+leaves one row of each component.
 """
 
 from __future__ import annotations
@@ -30,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import partitions, release, saved
+from .common import free, partitions, release, saved
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 75
 SLOTS, BITS, CHUNKS, MAX_ERRORS = 64, 16, 16, 31
-#: A second, finer signature decides which pairs of a bucket are worth confirming; at 0.75, one pair in 10,000 differs more.
-FINE_SLOTS, FINE_ERRORS = 512, 165
+#: Bins of the counts that bound an intersection: twice a set's size, rounded up to a power of two, within these limits.
+BINS = (64, 4096)
 #: Text handled at once in a worker: a word takes some 100 bytes while it is sorted.
 CHUNK = 2 << 20
 #: Members of a bucket that are compared in one task at once.
@@ -143,13 +146,35 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(_near(a, b)))
 
 
+def bin_counts(keys: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each bin (of their top bits); empty if a count exceeds a byte: such a set is never ruled out."""
+    bins = min(max(BINS[0], 1 << int(2 * len(keys) - 1).bit_length()), BINS[1])
+    counts = np.bincount((keys >> _U64(65 - bins.bit_length())).astype(np.int64), minlength=bins)
+    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def may_overlap(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether bin counts allow pairs of sets the similarity: the bins' smaller counts add up to no less than the intersection."""
+    out = np.ones(len(a), bool)
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for bins in np.unique(size.min(axis=1)).tolist():
+        at = np.flatnonzero(size.min(axis=1) == bins)
+        step = max(1, (8 << 20) // max(bins, 1))
+        for part in (at[i : i + step] for i in range(0, len(at) if bins else 0, step)):
+            # Neighbouring bins of the finer counts are added up.
+            x, y = (np.stack([np.frombuffer(side[i], np.uint8).reshape(bins, -1).sum(axis=1, dtype=np.uint16) for i in part]) for side in (a, b))
+            both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            out[part] = (100 + THRESHOLD) * both >= THRESHOLD * (n_a[part] + n_b[part])
+    return out
+
+
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.chunks(batch, "text", CHUNK):
             keys, at = shingles(words.split(part.column("text"), lower=True))
-            rows = [x.tobytes() for x in signatures(keys, at, FINE_SLOTS, 45).astype(np.uint8)]
-            kept = part.column("rep").filter(pa.array(np.diff(at) > 0))
-            yield pa.RecordBatch.from_arrays([kept, pa.array(rows, pa.binary())], names=["rep", "fine"])
+            some = np.diff(at) > 0
+            rows = [bin_counts(words.mix(keys[a:b])) for a, b in zip(at[:-1][some], at[1:][some], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("rep").filter(pa.array(some)), pa.array(rows, pa.binary())], names=["rep", "fine"])
 
 
 def _pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -176,7 +201,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         cols = {c: rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "rep", "comp", "n_shingles")}
-        fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
+        fine = rows.column("fine").to_pylist()
         coarse = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
         new = np.zeros(len(fine), np.int64)
         for c in ("key", "i", "j"):
@@ -187,7 +212,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             may = (cols["comp"][a] != cols["comp"][b]) & (100 * np.minimum(n_a, n_b) >= THRESHOLD * np.maximum(n_a, n_b))
             may &= (cols["i"][a] == cols["j"][a]) | (cols["block"][a] != cols["block"][b])
             a, b = a[may], b[may]
-            for near in (lambda: _near(coarse[a], coarse[b]), lambda: first_key(coarse[a], coarse[b]) == cols["key"][a] & (SLOTS - 1), lambda: (fine[a] != fine[b]).sum(axis=1) <= FINE_ERRORS):
+            for near in (lambda: _near(coarse[a], coarse[b]), lambda: first_key(coarse[a], coarse[b]) == cols["key"][a] & (SLOTS - 1), lambda: may_overlap([fine[x] for x in a], [fine[x] for x in b], cols["n_shingles"][a], cols["n_shingles"][b])):
                 kept = near()
                 a, b = a[kept], b[kept]
             out.append(np.sort(np.stack((cols["rep"][a], cols["rep"][b]), 1), axis=1))
@@ -241,6 +266,9 @@ def cluster(docs: DataFrame) -> DataFrame:
     sketches = saved(slim.mapInArrow(_sketch, SKETCH), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
     classes = saved(classes, "classes")
+    # Documents with several texts link their classes.
+    several = sketches.where("n_shingles > 0").groupBy("doc_id").agg(F.min("h1").alias("lo1"), F.max("h1").alias("hi1"), F.min("h2").alias("lo2"), F.max("h2").alias("hi2")).where("lo1 < hi1 OR lo2 < hi2").select("doc_id")
+    several = saved(sketches.where("n_shingles > 0").join(several, "doc_id").select("h1", "h2", "doc_id").distinct().join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v"), "several")
     index = classes.select("rep", "signature").mapInArrow(_index, "key long, rep long")
     # Aggregates are stored before they are joined: adaptive execution splits a hot key only between two plain exchanges.
     shared = saved(index.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"), "shared")
@@ -257,7 +285,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     release(spark)
     links = saved(_confirmed(star, texts), "star-links")
     release(spark)
-    first = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    first = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(several))
 
     member = buckets.select("key", "rep").join(first.select(F.col("u").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     member = saved(member, "members")
@@ -273,13 +301,35 @@ def cluster(docs: DataFrame) -> DataFrame:
     release(spark)
     roots = components(first.select("u", F.col("root").alias("v")).unionAll(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
+    free(buckets, shared, member, mixed, fine, texts)
     whole = classes.join(roots, F.col("rep") == F.col("u"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
     alone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("root"))
     linked = sketches.where("n_shingles > 0").join(whole, ["h1", "h2"]).select("doc_id", "n_shingles", "root")
+    # A row without words goes where other rows of its doc_id are.
+    if not alone.isEmpty():
+        others = linked.join(alone.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("root").alias("with"))
+        alone = alone.join(others, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("with", "root").alias("root"))
     back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
     return linked.unionAll(alone).select(back("doc_id").alias("doc_id"), "n_shingles", back("root").alias("component_id"), (F.col("doc_id") == F.col("root")).alias("kept"))
 
 
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: of the document that is kept, the row with the least hash of its text."""
+    kept = saved(cluster(docs).where("kept").groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("rows")), "kept")
+    ours = docs["doc_id"].cast("long").eqNullSafe(kept["k"])
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    single = docs.join(kept.where("rows = 1"), ours, "left_semi")
+    again = kept.where("rows > 1")
+    if again.isEmpty():
+        return single
+    # Equal rows and rows with one doc_id: an aggregate of hashes finds the row, and one of equal rows goes on.
+    row = F.xxhash64(docs["text"].cast("string"))
+    several = docs.join(again, ours).select(*columns, row.alias("_row"), F.struct(F.xxhash64(*columns)).alias("_all"))
+    least = saved(several.groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.min(F.struct("_row", "_all")).alias("least")), "least-rows")
+    one = several.join(least, several["doc_id"].cast("long").eqNullSafe(least["k"]) & (F.struct(several["_row"], several["_all"]) == least["least"]), "left_semi")
+    return single.unionByName(one.drop("_row", "_all").dropDuplicates())
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

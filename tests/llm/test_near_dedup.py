@@ -56,6 +56,37 @@ def test_odd_rows(spark, odd):
     assert {g for g in got if g[0] in (1, 2, 3)} == {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)}
     assert sorted(g for g in got if g[0] in (4, 5)) == [(4, 1, 4, True), (5, 1, 4, False), (5, 1, 4, False)]
     assert sorted(g[1:] for g in got if g[0] is None) == [(0, None, True), (1, None, True)]
+    one = nd.dedup(odd)
+    assert one.columns == odd.columns
+    assert sorted(((r.doc_id is not None, r.doc_id or 0) for r in one.collect())) == [(False, 0), *((True, d) for d in (1, 2, 3, 4, 6, 7, 8))]
+
+
+def test_rows_of_one_doc_id_are_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a), (7, a + " more"), (7, b), (7, b), (9, b + " more"), (9, None), (11, "something else entirely"), (11, None), (12, None)]
+    df = spark.createDataFrame([(d, t, k % 2) for k, (d, t) in enumerate(rows)], "doc_id long, text string, _row int")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.cluster(df).collect())
+    assert [(d, c) for d, _, c, _ in got] == [(3, 3), (7, 3), (7, 3), (7, 3), (9, 3), (9, 3), (11, 11), (11, 11), (12, 12)]
+    assert sorted(r.doc_id for r in nd.dedup(df.select("doc_id", "text")).collect()) == [3, 11, 12]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bin_counts_never_rule_out_a_similar_pair(seed):
+    r = np.random.default_rng(seed)
+    sets = []
+    for _ in range(60):
+        n = int(r.integers(1, [30, 300, 3000, 9000][seed]))
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        keep = a[r.random(len(a)) < r.choice([0.7, 0.85, 0.9, 1.0])]
+        sets.append((a, np.unique(np.concatenate((keep, r.integers(0, 1 << 63, int(r.integers(0, n // 5 + 1))).astype(np.uint64))))))
+    sets = [(a, b) for a, b in sets if len(a) and len(b)]
+    n_a, n_b = (np.array([len(s[k]) for s in sets]) for k in (0, 1))
+    both = np.array([len(np.intersect1d(a, b)) for a, b in sets])
+    similar = 100 * both >= nd.THRESHOLD * (n_a + n_b - both)
+    may = nd.may_overlap([nd.bin_counts(a) for a, _ in sets], [nd.bin_counts(b) for _, b in sets], n_a, n_b)
+    assert may[similar].all() and similar.any()
+    assert not nd.may_overlap([nd.bin_counts(sets[0][0])], [nd.bin_counts(sets[0][0] ^ np.uint64(1 << 62))], n_a[:1], n_a[:1]).any() or n_a[0] < 20
+    assert nd.bin_counts(np.arange(300, dtype=np.uint64)) == b""  # all in one bin
 
 
 def test_nothing(empty):
