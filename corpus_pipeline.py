@@ -25,8 +25,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.cluster(docs).where("kept").select(F.col("doc_id").alias("k"))
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    """One row of each group: also of rows that are equal or share a doc_id."""
+    return near_dedup.dedup(docs.select(*COLUMNS))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
