@@ -137,14 +137,38 @@ def brute_rules(sets, support, confidence, most=3):
     return {(s, label): c for (s, label), c in found.items() if not any(found.get((s[:i] + s[i + 1 :], label), -1) >= c for i in range(len(s)))}
 
 
-def test_mined_rules_equal_counting(spark):
+@pytest.mark.parametrize("wide", [12, 0])
+def test_mined_rules_equal_counting(spark, monkeypatch, wide):
+    monkeypatch.setattr(url_filter, "WIDE", wide)
     r = random.Random(7)
     sets = []
     for _ in range(120):
-        t = sorted({r.choice("abcdef") for _ in range(4)})
-        sets.append((t, "block" if "a" in t and "b" in t else r.choice(["allow", "allow", "block"])))
+        t = {r.choice("abcdef") for _ in range(4)}
+        t |= {"a2", "a3"} if "a" in t else set()  # always with a
+        label = "block" if "a" in t and "b" in t else r.choice(["allow", "allow", "block"])
+        sets.append((sorted(t | ({"sure"} if label == "block" and "c" in t else set())), label))  # always blocked
     got = {(tuple(x.antecedent), x.learned): x.confidence for x in url_filter.mine(spark.createDataFrame(sets, "tokens array<string>, ruled string"), 0.05, 0.8).collect()}
-    assert got == brute_rules(sets, 0.05, 0.8) and got
+    assert got == brute_rules(sets, 0.05, 0.8) and got and (("sure",), "block") in got
+
+
+def test_verdicts_equal_counting_also_of_deep_shared_paths(spark):
+    """Thirty segments that 200 urls share would be 2**30 subsets."""
+    deep, r = "/".join(f"s{i}x" for i in range(30)), random.Random(3)
+    urls = [f"http://h{k % 9}.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'fr', 'de'])}/{deep if k % 11 else 'shallow'}/{'abcdefghij'[k % 7]}?{'kl'[k % 2]}=1" for k in range(220)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    seen = url_filter.match_rules(pages).withColumn("tokens", url_filter.tokens()).collect()
+    small = [x for x in ({t for t in x.tokens if not t.startswith("p:s") or t == "p:s0x"} for x in seen)]  # the segments are alike, so one will do
+    found = brute_rules([(sorted(s), x.ruled) for s, x in zip(small, seen, strict=True) if x.ruled], 0.01, 0.9)
+    want = {}
+    for s, x in zip(small, seen, strict=True):
+        fits = [(c, label) for (t, label), c in found.items() if set(t) <= s]
+        want[x.page_id] = {x.ruled} if x.ruled else {v for c, v in fits if c == max(fits)[0]} or {"allow"}
+    got = {x.page_id: x.verdict for x in url_filter.judge(pages).collect()}
+    assert set(got) == set(want) and all(got[k] in want[k] for k in got)
+    assert {v for k, v in got.items() if not seen[k].ruled} == {"allow", "block"}
+    tally = {(x.ruled, x.learned): x.n for x in url_filter.held_out(pages).collect()}
+    right = sum(n for (a, b), n in tally.items() if a == b)
+    assert 0 < right <= sum(tally.values()) < sum(x.ruled is not None for x in seen)
 
 
 def test_urls_without_labels_or_rows(spark):
