@@ -3,11 +3,16 @@
 Each document is read once; out of the scan come its counts and, for each distinct normalised line
 (A-Z folded, white space collapsed), a 128-bit hash with the words it stands for.  Lines are counted
 by host; those in more documents than the limits allow are boilerplate.  A document that keeps too
-few of its words without them is depleted and rejected.
+few of its words without them is depleted and rejected.  ``without_common_lines`` gives the texts that
+are left.
 
-Defined results: a null or empty text has no words and fails; rows with a repeated or null doc_id
-are documents of their own and get the verdict of their own text; a null host is a host; an empty
-table gives an empty result; other columns are ignored.
+Both limits must be passed: hosts of up to ``MAX_DOCS`` documents have no boilerplate, as nothing can be
+told from so few, and on hosts of more than 1000 * MAX_DOCS / MAX_PER_MILLE (10,000) the share decides.
+
+Defined results: a null or empty text has no words and fails; rows that share a doc_id count as one
+document of their host (null doc_ids as one) and get the verdict of their own text; a null host is a
+host; an empty table gives an empty result; other columns are ignored, or pass through
+``without_common_lines``.
 """
 
 from __future__ import annotations
@@ -58,6 +63,11 @@ def repeat_words(w: words.Words, width: int = WINDOW) -> np.ndarray:
     return np.diff(covered[w.offsets])
 
 
+def _line_hash(key: bytes) -> tuple[int, int]:
+    h = xxhash.xxh3_128_digest(key)
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
 def _lines(text: str) -> tuple[int, list[dict]]:
     """Lines equal to an earlier one, and the distinct normalised lines with their words."""
     seen: set[str] = set()
@@ -72,8 +82,8 @@ def _lines(text: str) -> tuple[int, list[dict]]:
         found[key] = found.get(key, 0) + len(parts)
     out = []
     for key, n in found.items():
-        h = xxhash.xxh3_128_digest(key)
-        out.append({"h1": int.from_bytes(h[:8], "little", signed=True), "h2": int.from_bytes(h[8:], "little", signed=True), "words": n})
+        h1, h2 = _line_hash(key)
+        out.append({"h1": h1, "h2": h2, "words": n})
     return dup, out
 
 
@@ -101,14 +111,53 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return slim.withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(_measure, SCHEMA)
 
 
+def common_lines(measured: DataFrame, max_docs: int = MAX_DOCS, max_per_mille: int = MAX_PER_MILLE) -> DataFrame:
+    """c_host, c1, c2: the lines that more documents of a host hold than both limits allow."""
+    lines = measured.select("doc_id", "host", F.explode("lines").alias("line")).select("doc_id", "host", "line.h1", "line.h2")
+    again = saved(measured.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"), "again")
+    rows = measured.select("doc_id", "host")
+    if not again.isEmpty():  # only rows that share a doc_id can count a document twice
+        same = F.col("doc_id").eqNullSafe(F.col("again"))
+        lines = lines.join(again, same, "left_anti").unionByName(lines.join(again, same, "left_semi").distinct())
+        rows = rows.distinct()
+    size = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
+    common = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    common = common.join(size, common.host.eqNullSafe(size.host)).where(1000 * F.col("n") > max_per_mille * F.col("host_docs")).select(common.host.alias("c_host"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+    return saved(common, "common")  # so that adaptive execution can split a hot line where it is joined
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in words.chunks(batch, "text"):
+            kept = []
+            for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
+                gone = {(g["h1"], g["h2"]) for g in gone}
+                kept.append("\n".join(line for line in text.split("\n") if not (parts := line.encode().split()) or _line_hash(b" ".join(parts).lower()) not in gone))
+            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("row"), pa.array(kept, pa.string())], names=["k_host", "k_row", "kept"])
+
+
+def without_common_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_per_mille: int = MAX_PER_MILLE) -> DataFrame:
+    """``docs`` with ``text`` without its host's common lines; a text that has none stays as it is."""
+    measured = saved(measure(docs, host), "measured")
+    lines = measured.select("host", "row", F.explode("lines").alias("line")).select("host", "row", "line.h1", "line.h2")
+    common = common_lines(measured, max_docs, max_per_mille)
+    hit = lines.join(common, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("host").eqNullSafe(F.col("c_host")))
+    # The lines of one text: bounded by it.
+    lists = saved(hit.groupBy(F.col("host").alias("g_host"), F.col("row").alias("g_row")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone")), "gone")
+    text, where = docs["text"].cast("string"), docs[host].cast("string")
+    row = F.xxhash64(F.coalesce(text, F.lit("")))
+    touched = docs.select(text.alias("text"), where.alias("host"), row.alias("row")).join(lists, F.col("host").eqNullSafe(F.col("g_host")) & (F.col("row") == F.col("g_row")))
+    cut = touched.select("text", "host", "row", "gone").mapInArrow(_cut, "k_host string, k_row long, kept string").dropDuplicates(["k_host", "k_row"])
+    cut = saved(cut, "cut")
+    joined = docs.join(cut, where.eqNullSafe(cut["k_host"]) & (row == cut["k_row"]), "left")
+    return joined.select(*(F.coalesce(cut["kept"], text).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns))
+
+
 def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_per_mille: int = MAX_PER_MILLE, min_kept: int = MIN_KEPT) -> DataFrame:
     """One row for each document: its counts, n_boilerplate (words in lines above the limits), base_failed, kept."""
     measured = saved(measure(docs, host), "measured")
     lines = measured.select("doc_id", "row", "host", F.explode("lines").alias("line")).select("doc_id", "row", "host", "line.*")
-    size = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
-    common = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    common = common.join(size, common.host.eqNullSafe(size.host)).where(1000 * F.col("n") > max_per_mille * F.col("host_docs")).select(common.host.alias("c_host"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
-    common = saved(common, "common")  # so that adaptive execution can split a hot line in the join below
+    common = common_lines(measured, max_docs, max_per_mille)
     hit = lines.join(common, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("host").eqNullSafe(F.col("c_host")))
     # Rows that are the same in all of doc_id, host and text meet here, each with its lines once: a line counts once for them.
     hit = hit.groupBy("doc_id", "row", "host", "h1", "h2").agg(F.max("words").alias("words"))
