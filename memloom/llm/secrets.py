@@ -3,7 +3,8 @@
 A candidate is a run of token characters that mixes character classes.  A window slides over it; the
 counts of its characters, and from them its entropy, change by one character in and one out.  The
 candidate becomes a span if a window's entropy reaches the threshold of its class (hex or base64),
-unless an allow-list pattern takes it or it touches a span of the literal patterns.
+unless an allow-list pattern takes it.  Where spans of the literal patterns cut a run, what lies between
+them are candidates of their own.
 
 Every text is scanned whole.  Defined results: a null or empty text has no spans; rows are judged one
 by one, so ties, repeated rows and null doc_ids change nothing; an empty table gives an empty result;
@@ -12,8 +13,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from math import log2
@@ -74,15 +75,34 @@ def allowed(s: str) -> bool:
     return bool(_ALLOWED_EXACT.match(s) or _ALLOWED_WORDS.search(s))
 
 
+def _outside(a: int, b: int, begins: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """The parts of [a, b) outside merged, ascending spans."""
+    for i in range(bisect_right(ends, a), len(begins)):
+        if begins[i] >= b:
+            break
+        yield a, begins[i]
+        a = ends[i]
+    yield a, b
+
+
 def entropy_spans(text: str, taken: list[Span]) -> list[Span]:
+    begins: list[int] = []
+    ends: list[int] = []
+    for _, x, y in sorted(taken, key=lambda s: s[1]):
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            begins.append(x)
+            ends.append(y)
     found = []
     for m in CANDIDATE.finditer(text):
-        s, a, b = m.group(), m.start(), m.end()
-        if allowed(s) or any(x < b and a < y for _, x, y in taken):
-            continue
-        kind = "hex" if re.fullmatch(r"[0-9a-fA-F]+", s) else "base64"
-        if max_entropy(s) >= THRESHOLDS[kind]:
-            found.append(("entropy", a, b))
+        for a, b in _outside(m.start(), m.end(), begins, ends):
+            s = text[a:b]
+            if b - a < WINDOW or allowed(s):
+                continue
+            kind = "hex" if re.fullmatch(r"[0-9a-fA-F]+", s) else "base64"
+            if max_entropy(s) >= THRESHOLDS[kind]:
+                found.append(("entropy", a, b))
     return found
 
 
@@ -119,9 +139,3 @@ def digest(scanned: DataFrame) -> DataFrame:
         joined.format(f"array_sort(concat(base_spans, method_spans), {order})") + " AS spans",
     )
 
-
-def brute_digest(text: str | None) -> tuple[int, int, int, str, str]:
-    """What ``digest`` gives for one text, in plain Python."""
-    base = base_spans(text or "")
-    n = [sum(s[0] == k for s in base) for k in KINDS[:3]]
-    return (*n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + entropy_spans(text or "", base)))
