@@ -1,17 +1,19 @@
 """Token-id files: one wavelet matrix for each shard of documents.
 
-File format (all numbers little-endian; the file is the value of ``payload`` in the shard table, so
-any store that Spark can write holds it)::
+File format (all numbers little-endian)::
 
-    "WVM1" | u32 levels | u64 tokens | u64 documents | u32 directory size
-    directory  zstd: documents + 1 offsets (u64)
-    planes     for each level from the top bit: u32 size | u64 zeros | zstd: bits, packed big-endian
+    "WVM2" | u32 levels | u64 tokens | u64 documents | u32 directory size
+    directory  zstd: documents + 1 offsets (i64), documents doc_ids (i64), documents bytes (1: doc_id is null)
+    index      for each level from the top bit: u64 zeros, then for each block: u64 ones before it, u64 where it begins
+    blocks     zstd: BLOCK bits each, packed big-endian
 
-A level splits the sequence by one bit of the ids, stably, zeros before ones.  Rank directories
-(ones before every 512-bit block) are rebuilt when a file is opened: one pass over the bits.  With
-them ``access``, ``count`` and ``occurrence`` take one step for each level and no scan of the tokens.
+A level splits the sequence by one bit of the ids, stably, zeros before ones.  Ranks at every block are
+in the file, and a block is inflated when it is asked for: ``access``, ``count`` and ``occurrence`` take
+two blocks a level, whatever the shard's size, and a file can be mapped instead of read.
 
-Shards follow ascending doc_id; documents are not split between shards.
+The shard table holds each file as a value, so that any store that Spark can write holds it; ``export``
+writes them as files of their own, which need nothing else to be read.  Shards follow ascending doc_id;
+documents are not split between shards.
 
 Defined results: null and empty texts are the end id alone; null doc_ids come first; rows with one
 doc_id follow each other in an order that is stable for one stored table; an empty table gives no
@@ -35,58 +37,84 @@ from pyspark.sql import functions as F
 from . import tokens, words
 from .common import partitions, saved
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 HEAD = struct.Struct("<4sIQQI")
-PLANE = struct.Struct("<IQ")
-BLOCK = 512
+#: Bits of a block, and blocks that an opened file keeps inflated.
+BLOCK, KEPT = 1 << 15, 256
 #: Tokens after which a shard ends; it still takes the whole of its last document.
 SHARD_TOKENS = 1 << 20
 #: A task here also codes its tokens, so that fewer words are to be encoded twice.
 CACHE_WORDS = 1_000_000
 
-SHARDS = "part int, shard int, n_docs long, n_tokens long, doc_ids array<long>, payload binary"
+SHARDS = "part int, shard int, n_docs long, n_tokens long, payload binary"
 DOCUMENTS = "part int, shard int, doc_id long, within long, n_tokens long, ids binary"
 
 
-def encode(ids: np.ndarray, offsets: np.ndarray, levels: int | None = None) -> bytes:
+def encode(ids: np.ndarray, offsets: np.ndarray, doc_ids: list[int | None] | None = None, levels: int | None = None) -> bytes:
     """The file for ``ids``; document i is ``ids[offsets[i]:offsets[i + 1]]``."""
     levels = levels or max(1, int(ids.max(initial=0)).bit_length())
-    directory = zstandard.compress(np.ascontiguousarray(offsets, "<u8").tobytes(), 1)
-    out = [HEAD.pack(MAGIC, levels, len(ids), len(offsets) - 1, len(directory)), directory]
+    documents = len(offsets) - 1
+    doc_ids = doc_ids if doc_ids is not None else [None] * documents
+    names, null = np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8)
+    press = zstandard.ZstdCompressor(1).compress
+    directory = press(np.ascontiguousarray(offsets, "<i8").tobytes() + names.tobytes() + null.tobytes())
+    index, blobs = [], []
+    at = HEAD.size + len(directory) + levels * 8 * (1 + 2 * _blocks(len(ids)))
     current = ids.astype(np.uint16 if levels <= 16 else np.uint32, copy=False)
     for level in range(levels - 1, -1, -1):
         ones = ((current >> level) & 1).astype(bool)
-        bits = zstandard.compress(np.packbits(ones).tobytes(), 1)
+        packed = np.packbits(ones)
+        before = np.concatenate(([0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), BLOCK), dtype=np.int64)))) if len(ones) else np.zeros(1, np.int64)
         zeros = current[~ones]
-        out += [PLANE.pack(len(bits), len(zeros)), bits]
+        index.append(len(zeros))
+        for i in range(_blocks(len(ids))):
+            blob = press(packed[i * (BLOCK // 8) : (i + 1) * (BLOCK // 8)].tobytes())
+            index += [int(before[i]), at]
+            at += len(blob)
+            blobs.append(blob)
         current = np.concatenate((zeros, current[ones]))
-    return b"".join(out)
+    return b"".join([HEAD.pack(MAGIC, levels, len(ids), documents, len(directory)), directory, np.array(index, "<u8").tobytes(), *blobs])
+
+
+def _blocks(n: int) -> int:
+    return -(-n // BLOCK)
 
 
 class WaveletMatrix:
-    """An opened file."""
+    """An opened file: bytes, or anything with a buffer, such as a mapped file."""
 
-    def __init__(self, payload: bytes):
-        magic, self.levels, self.n, self.documents, size = HEAD.unpack_from(payload)
+    def __init__(self, payload):
+        self._file = memoryview(payload)
+        magic, self.levels, self.n, self.documents, size = HEAD.unpack_from(self._file)
         if magic != MAGIC:
-            raise ValueError("not a WVM1 file")
-        at = HEAD.size
-        inflate = zstandard.ZstdDecompressor()
-        self.offsets = np.frombuffer(inflate.decompress(payload[at : at + size]), "<u8").astype(np.int64)
-        at += size
-        self.bits: list[np.ndarray] = []
-        self.zeros: list[int] = []
-        for _ in range(self.levels):
-            size, zeros = PLANE.unpack_from(payload, at)
-            at += PLANE.size
-            raw = inflate.decompress(payload[at : at + size], max_output_size=self.n // 8 + 1) if self.n else b""
-            self.bits.append(np.frombuffer(raw, np.uint8))
-            self.zeros.append(zeros)
-            at += size
-        self._blocks: list[np.ndarray] | None = None
+            raise ValueError("not a WVM2 file")
+        raw = zstandard.ZstdDecompressor().decompress(self._file[HEAD.size : HEAD.size + size])
+        numbers = np.frombuffer(raw, "<i8", 2 * self.documents + 1)
+        self.offsets, names = numbers[: self.documents + 1], numbers[self.documents + 1 :]
+        null = np.frombuffer(raw, np.uint8, self.documents, 8 * len(numbers))
+        self.doc_ids = pa.array(names, mask=null.astype(bool))
+        at, per = HEAD.size + size, 1 + 2 * _blocks(self.n)
+        index = np.frombuffer(self._file, "<u8", self.levels * per, at).reshape(self.levels, per).astype(np.int64)
+        self.zeros, self._before, where = index[:, 0].tolist(), index[:, 1::2], index[:, 2::2]
+        self._where = np.append(where.ravel(), len(self._file))
+        self._inflated: dict[int, np.ndarray] = {}
+        self.n_inflated = 0
+
+    def _block(self, k: int, i: int) -> np.ndarray:
+        at = k * _blocks(self.n) + i
+        if at not in self._inflated:
+            if len(self._inflated) >= KEPT:
+                del self._inflated[next(iter(self._inflated))]
+            raw = zstandard.ZstdDecompressor().decompress(self._file[self._where[at] : self._where[at + 1]])
+            self._inflated[at] = np.frombuffer(raw, np.uint8)
+            self.n_inflated += 1
+        return self._inflated[at]
 
     def _plane(self, k: int) -> np.ndarray:
-        return np.unpackbits(self.bits[k], count=self.n).astype(bool)
+        """All bits of a level; the blocks are not kept."""
+        inflate, base = zstandard.ZstdDecompressor().decompress, k * _blocks(self.n)
+        raw = b"".join(inflate(self._file[self._where[base + i] : self._where[base + i + 1]]) for i in range(_blocks(self.n)))
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
 
     def all(self) -> np.ndarray:
         """Every token: the levels are undone from the lowest bit up."""
@@ -100,26 +128,18 @@ class WaveletMatrix:
 
     def _rank(self, k: int, i: int) -> int:
         """Ones before position i of level k."""
-        if self._blocks is None:
-            self._blocks = []
-            for bits in self.bits:
-                per = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), BLOCK // 8)) if len(bits) else np.zeros(0)
-                self._blocks.append(np.concatenate(([0], np.cumsum(per, dtype=np.int64))))
-        block, byte = i // BLOCK, i // 8
-        total = int(self._blocks[k][block]) + int(np.bitwise_count(self.bits[k][block * (BLOCK // 8) : byte]).sum(dtype=np.int64))
-        return total + (int(self.bits[k][byte]) >> (8 - i % 8)).bit_count() if i % 8 else total
+        if i >= self.n:
+            return self.n - self.zeros[k]
+        bits, byte = self._block(k, i // BLOCK), i % BLOCK // 8
+        total = int(self._before[k, i // BLOCK]) + int(np.bitwise_count(bits[:byte]).sum(dtype=np.int64))
+        return total + (int(bits[byte]) >> (8 - i % 8)).bit_count() if i % 8 else total
 
     def _select(self, k: int, bit: int, j: int) -> int:
-        """Position of the j-th (from 0) such bit of level k: a binary search on rank."""
-        low, high = 0, self.n - 1
-        while low < high:
-            mid = (low + high) // 2
-            ones = self._rank(k, mid + 1)
-            if (ones if bit else mid + 1 - ones) > j:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        """Position of the j-th (from 0) such bit of level k: the block by its rank, then inside it."""
+        before = self._before[k] if bit else np.arange(_blocks(self.n)) * BLOCK - self._before[k]
+        i = int(np.searchsorted(before, j, "right")) - 1
+        bits = np.unpackbits(self._block(k, i))[: self.n - i * BLOCK]
+        return i * BLOCK + int(np.flatnonzero(bits == bit)[j - int(before[i])])
 
     def access(self, i: int) -> int:
         value = 0
@@ -167,12 +187,8 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_toke
 
     def flush() -> pa.RecordBatch:
         ids, lengths = np.concatenate(held), np.concatenate(sizes)
-        payload = encode(ids, np.concatenate(([0], np.cumsum(lengths))), levels)
-        doc_ids = pa.concat_arrays(docs).to_pylist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(lengths)]), pa.array([len(ids)]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
-            names=["part", "shard", "n_docs", "n_tokens", "doc_ids", "payload"],
-        )
+        payload = encode(ids, np.concatenate(([0], np.cumsum(lengths))), pa.concat_arrays(docs).to_pylist(), levels)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(lengths)]), pa.array([len(ids)]), pa.array([payload], pa.binary())], names=["part", "shard", "n_docs", "n_tokens", "payload"])
 
     for batch in batches:
         for piece in words.chunks(batch, "text"):
@@ -205,9 +221,9 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 1, shar
 def _read(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
-            row = {n: batch.column(n)[r] for n in ("part", "shard", "doc_ids", "payload")}
-            matrix = WaveletMatrix(row["payload"].as_py())
-            ids, at, doc_ids = matrix.all().astype("<u4"), matrix.offsets, row["doc_ids"].values
+            row = {n: batch.column(n)[r] for n in ("part", "shard", "payload")}
+            matrix = WaveletMatrix(row["payload"].as_buffer())
+            ids, at, doc_ids = matrix.all().astype("<u4"), matrix.offsets, matrix.doc_ids
             view = memoryview(ids).cast("B")
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             n = len(at) - 1
@@ -227,10 +243,31 @@ def read_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     # Parts are tasks, so the driver sees one number for each task, never one for each document or shard.
     inside = shards.selectExpr("part AS p", "shard AS s", "coalesce(sum(n_tokens) OVER (PARTITION BY part ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
     schema = "part int, shard int, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    read = shards.select("part", "shard", "doc_ids", "payload").mapInArrow(lambda batches: _read(batches, with_ids), schema)
+    read = shards.select("part", "shard", "payload").mapInArrow(lambda batches: _read(batches, with_ids), schema)
     out = read.join(inside, (read.part == inside.p) & (read.shard == inside.s)).join(F.broadcast(bases), "part")
     return out.selectExpr("doc_id", "base + before + within AS start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
+def export(shards: DataFrame, folder: str) -> DataFrame:
+    """part, shard, file, bytes: each shard written to ``folder`` (a path or uri that all executors share) as a file of its own.
+
+    Names and contents depend on the shard alone, so a task that is run again writes the same file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for part, shard, payload in zip(*(batch.column(c) for c in ("part", "shard", "payload")), strict=True):
+                name = f"{part.as_py():05d}-{shard.as_py():05d}.wvm"
+                with store.open_output_stream(f"{root}/.{name}.{TaskContext.get().taskAttemptId()}") as out:
+                    out.write(payload.as_buffer())
+                store.move(f"{root}/.{name}.{TaskContext.get().taskAttemptId()}", f"{root}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([shard.as_py()], pa.int32()), pa.array([f"{folder.rstrip('/')}/{name}"]), pa.array([payload.as_buffer().size])], names=["part", "shard", "file", "bytes"])
+
+    return shards.select("part", "shard", "payload").mapInArrow(run, "part int, shard int, file string, bytes long")
+
+
 def _totals(shards: DataFrame) -> DataFrame:
     return shards.groupBy("part").agg(F.lit(0).alias("shard"), F.sum("n_tokens").alias("n_tokens"))

@@ -139,6 +139,18 @@ def test_boilerplate_is_counted_by_host(spark):
     assert got == {**{k: (60, False) for k in range(4)}, 10: (0, True), 11: (0, True), 20: (0, True)}
 
 
+def test_rows_of_one_document_count_once_and_common_lines_leave(spark):
+    common, rows = "A common  LINE of words", [(k, "a", f"own {k}\n a common line of words \n\nlast") for k in range(3)]
+    rows += [(1, "a", f"a common line of words\nother text {k}") for k in range(4)] + [(None, "a", common), (None, "a", common), (9, "b", common), (8, "a", None)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, source string, text string, gone int")
+    lost = lambda most: sorted(r.n_boilerplate for r in quality.judge(df, max_docs=most, max_per_mille=1).collect())
+    assert lost(4) == [0] * 11 and sum(x > 0 for x in lost(3)) == 9  # four documents hold it, in nine rows
+    got = quality.without_common_lines(df, max_docs=3, max_per_mille=1)
+    assert got.columns == df.columns
+    want = Counter((d, t if s == "b" or t is None else "\n".join(x for x in t.split("\n") if x.lower().split() != common.lower().split())) for d, s, t in rows)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+
+
 def test_no_quality(empty):
     assert quality.judge(empty.withColumn("source", F.lit("x"))).count() == 0
 
