@@ -46,7 +46,8 @@ def knowledge_tokens(x: Column) -> Column:
 
 
 def lines(x: Column) -> Column:
-    return F.split(F.coalesce(x, F.lit("")), "\n", -1)
+    """Lines by any of the line ends \\n, \\r\\n and \\r."""
+    return F.split(F.coalesce(x, F.lit("")), "\r\n|\n|\r", -1)
 
 
 _ASSIGNMENT = r"(?i)\b(api[_-]?key|access[_-]?token|token|secret|password)\b(\s*[:=]\s*)([^\s,;]+)"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoints
 from .context import prefix_stop
 
 
@@ -38,24 +39,50 @@ def closure(start: DataFrame, edges: DataFrame, max_depth: int, keep_path: bool
     """Nodes (id, depth[, path]) reachable from start (id) over edges (source, target), each by its first discovery.
 
     Breadth first: each round joins the frontier to the edges and drops what is known.  Rounds are bounded by
-    ``max_depth``; a reliable checkpoint of each frontier keeps the plan short where a folder for it is set."""
+    ``max_depth``; a checkpoint of the edges and of each frontier keeps the plan short and lets lost executors go."""
     spark = start.sparkSession
-    reliable = spark.sparkContext.getCheckpointDir() is not None
+    checkpoints(spark)
     path = [F.array("id").alias("path")] if keep_path else []
     seen = start.select("id").distinct().select("id", F.lit(0).alias("depth"), *path)
     frontier = seen
-    step = edges.select("source", "target").distinct()
+    step = edges.select("source", "target").distinct().checkpoint()
     for depth in range(1, max_depth + 1):
         reached = frontier.join(step, frontier.id == step.source).select(F.col("target").alias("id"), *([F.concat("path", F.array("target")).alias("path")] if keep_path else []))
         first = reached.groupBy("id").agg(*([F.min("path").alias("path")] if keep_path else [F.count("*").alias("_n")]))
         frontier = first.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), *(["path"] if keep_path else []))
-        frontier = frontier.checkpoint() if reliable else frontier.persist()
+        frontier = frontier.checkpoint()
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def budgeted(found: DataFrame, edges: DataFrame, max_depth: int, budgets: dict[str, int]) -> DataFrame:
+    """What ``closure`` found to ``max_depth`` + 1 (id, depth, and the budget columns ``bytes``, ``edges`` ... if any) under budgets.
+
+    Nodes are taken by (depth, id) until one would overflow; ``nodes`` counts them.  Every row tells ``complete`` and
+    the ``truncation_reasons`` of the whole answer, sorted.  Budgets bound what is kept: a node takes one of ``nodes``."""
+    limit = budgets["nodes"] + 1
+    inside = found.where(F.col("depth") <= max_depth).withColumn("nodes", F.lit(1))
+    top = inside.orderBy("depth", "id").limit(limit)  # bounded by the budget, so one task may order it
+    order = Window.orderBy("depth", "id")
+    over = [F.when(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) > n, F.lit(f"max_{c}")) for c, n in sorted(budgets.items())]
+    judged = top.withColumn("_over", F.array_compact(F.array(*over)))
+    deeper = found.where(F.col("depth") > max_depth).limit(1).agg(F.count("*").alias("_deeper"))
+    reasons = judged.agg(F.array_distinct(F.flatten(F.collect_list("_over"))).alias("_all")).crossJoin(F.broadcast(deeper))  # one row each
+    reasons = reasons.select(F.array_sort(F.concat("_all", F.when(F.col("_deeper") > 0, F.array(F.lit("max_depth"))).otherwise(F.array().cast("array<string>")))).alias("truncation_reasons"))
+    kept = judged.where(F.size("_over") == 0).drop("_over", "nodes")
+    return kept.crossJoin(F.broadcast(reasons)).withColumn("complete", F.size("truncation_reasons") == 0)
+
+
+def invalidation(start: DataFrame, edges: DataFrame, files: DataFrame, max_symbols: int, max_files: int, max_depth: int = 32) -> DataFrame:
+    """Symbols (id, file, complete, truncation_reasons) that depend on the start, up to both budgets: nearest first, then by id."""
+    found = closure(start, edges, max_depth + 1).join(files, "id")
+    first = Window.partitionBy("file").orderBy("depth", "id")
+    counted = found.withColumn("files", (F.row_number().over(first) == 1).cast("int"))
+    return budgeted(counted, edges, max_depth, {"nodes": max_symbols, "files": max_files}).drop("files")
+
+
 def incident_dropped(edges: DataFrame, gone: DataFrame, ends: tuple[str, str]) -> DataFrame:
     """Edges without those at a removed node (id)."""
     a, b = ends
@@ -63,6 +90,24 @@ def incident_dropped(edges: DataFrame, gone: DataFrame, ends: tuple[str, str]) -
     return kept.join(gone.select(F.col("id").alias("_b")), F.col(b) == F.col("_b"), "left_anti")
 
 
+def apply_delta(edges: DataFrame, gone: DataFrame, added: DataFrame, ends: tuple[str, str]) -> DataFrame:
+    """Edges without those at removed nodes (id), and with the added ones; an added edge at a removed node is not taken."""
+    return incident_dropped(edges.unionByName(added.select(*edges.columns)).distinct(), gone, ends)
+
+
+def one_hop(edges: DataFrame, handle, direction: str, budgets: dict[str, int]) -> DataFrame:
+    """Neighbours (id, bytes) of a handle over edges (source, target, bytes) under budgets, by id, with ``complete`` and ``truncation_reasons``."""
+    mine, other = ("source", "target") if direction == "out" else ("target", "source")
+    near = edges.where(F.col(mine) == handle).groupBy(F.col(other).alias("id")).agg(F.max("bytes").alias("bytes"))
+    found = near.select("id", F.lit(1).alias("depth"), "bytes", F.lit(1).alias("edges"))
+    return budgeted(found, edges, 1, {"nodes": budgets["edges"], **budgets}).withColumn("truncation_reasons", F.array_remove("truncation_reasons", "max_nodes")).select("id", "bytes", "complete", "truncation_reasons")
+
+
+def by_repository(found: DataFrame, repository: Column) -> DataFrame:
+    """How many symbols a closure (id, depth) reaches in each repository, and how near the nearest is."""
+    return found.groupBy(repository.alias("repository")).agg(F.count("*").alias("symbols"), F.min("depth").alias("depth"))
+
+
 def degrees(edges: DataFrame, source: str, target: str) -> DataFrame:
     out = edges.groupBy(F.col(source).alias("node")).agg(F.count("*").alias("out_degree"))
     into = edges.groupBy(F.col(target).alias("node")).agg(F.count("*").alias("in_degree"))

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_chain(df: DataFrame, key: str, sequence: str, payload: str) -> DataFrame:
     """Rows of each chain with prev_hash and record_hash = sha256(prev_hash + payload).
 
-    Sequential within a chain, so it is a fold over the chain's sorted rows; chains are parallel."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("sequence"), F.col(payload).alias("payload")))).alias("r"))
-    fold = "aggregate(r, array(named_struct('sequence', -1L, 'payload', '', 'prev_hash', '', 'record_hash', '')), (a, x) -> concat(a, array(named_struct('sequence', bigint(x.sequence), 'payload', x.payload, 'prev_hash', element_at(a, -1).record_hash, 'record_hash', sha2(concat(element_at(a, -1).record_hash, x.payload), 256)))))"
-    return rows.select(key, F.explode(F.filter(F.expr(fold), lambda x: x.sequence >= 0)).alias("x")).select(key, "x.*")
+    Sequential within a chain: one pass over its sorted rows that holds one hash; chains are parallel."""
+    rows = df.select(key, F.col(sequence).cast("long").alias("sequence"), F.col(payload).cast("string").alias("payload"))
+    dealt = rows.repartition(key).sortWithinPartitions(key, "sequence", "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for k, p in zip(batch.column(0).to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                last = last if k == chain else ""
+                chain = k
+                before.append(last)
+                last = hashlib.sha256((last + (p or "")).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*batch.schema.names, "prev_hash", "record_hash"])
+
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("record_hash", T.StringType())]))
 
 
 def chain_faults(df: DataFrame, key: str) -> DataFrame:
@@ -58,6 +76,11 @@ def summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
     )
 
 
-def group_digest(df: DataFrame, group: list[str], digest: Column) -> DataFrame:
-    """A digest of each group that doesn't depend on row order."""
-    return df.groupBy(*group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ""), 256).alias("digest"))
+def group_digest(df: DataFrame, group: list[str], digest: Column, prefix: int = 3) -> DataFrame:
+    """A digest of each group (of hex digests) that doesn't depend on row order: of its buckets' digests, in order.
+
+    A bucket holds the digests with one prefix, so a group of any size is dealt over 16 ** prefix tasks."""
+    rows = df.select(*group, digest.alias("_d")).withColumn("_p", F.substring("_d", 1, prefix))
+    buckets = rows.groupBy(*group, "_p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), ""), 256).alias("_b"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_b"))), lambda x: x["_b"])
+    return buckets.groupBy(*group).agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest"))

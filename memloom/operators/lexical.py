@@ -13,6 +13,22 @@ def lexical_score(query_tokens: Column, text_tokens: Column) -> Column:
     return F.when(F.size(query_tokens) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(query_tokens, text_tokens)) / F.size(query_tokens))
 
 
+def best_by_tokens(items: DataFrame, docs: DataFrame, item: str, doc: str, k: int) -> DataFrame:
+    """items (item, tokens) against docs (doc, tokens): the ``k`` best documents of each item by the share of its tokens, ties by doc.
+
+    Tokens are an inverted index: only pairs that share a token meet.  Where fewer than ``k`` do, the least documents follow with 0."""
+    ids = [r[0] for r in docs.select(doc).distinct().orderBy(doc).limit(k).collect()]  # k of them
+    size = F.size(F.array_distinct("tokens"))
+    wanted = items.select(item, size.alias("_n"), F.explode(F.array_distinct("tokens")).alias("_token"))
+    held = docs.select(doc, F.explode(F.array_distinct("tokens")).alias("_token"))
+    hits = held.join(wanted, "_token").select(item, doc, "_n", F.lit(1).alias("_hit"))
+    least = items.select(item, F.explode(F.array(*[F.lit(i) for i in ids])).alias(doc), size.alias("_n"), F.lit(0).alias("_hit"))
+    score = F.when(F.max("_n") > 0, F.sum("_hit") / F.max("_n")).otherwise(0.0)
+    scored = hits.unionByName(least).groupBy(item, doc).agg(score.alias("score"))
+    order = Window.partitionBy(item).orderBy(F.desc(F.round("score", 9)), doc)
+    return scored.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+
+
 def combined_score(lexical: Column, structural: Column, auxiliary: Column | None = None) -> Column:
     if auxiliary is None:
         return F.round(0.80 * lexical + 0.20 * structural, 12)
@@ -55,15 +71,22 @@ def hybrid_search(df: DataFrame, lexical: Column, coarse: Column, exact: Column,
     return first.withColumn("score", exact + F.col("lex")).orderBy(F.desc("score"), key).limit(k)
 
 
-def rank_capabilities(candidates: DataFrame, required: list[str]) -> DataFrame:
-    """candidates (handle, version, capabilities, available, policy_eligible, cost, latency): score, eligibility, first reason, rank.
+def rank_capabilities(candidates: DataFrame, required: list[str], scope: str | None = None, trust: int | None = None, max_freshness: int | None = None) -> DataFrame:
+    """candidates (handle, version, capabilities, available, policy_eligible, cost, latency): score, eligibility and first reason.
 
-    Unknown cost or latency costs nothing; an unknown policy is not eligible."""
+    Unknown cost or latency costs nothing; an unknown policy is not eligible.  ``ranked`` puts them in order.  Optional
+    columns scope, trust and freshness are held against ``scope``, ``trust`` and ``max_freshness``; an unknown one fails."""
     need = F.array(*[F.lit(c) for c in required])
     matched, missing = F.size(F.array_intersect(need, "capabilities")), F.size(F.array_except(need, "capabilities"))
     policy = F.when(F.col("policy_eligible"), "eligible").when(F.col("policy_eligible").isNull(), "unknown").otherwise("rejected")
     score = 100 * matched - 1000 * missing - F.coalesce("cost", F.lit(0)) - F.coalesce("latency", F.lit(0)) + F.when(F.col("available"), 0).otherwise(-10000) + F.when(policy == "eligible", 0).when(policy == "unknown", -5000).otherwise(-10000)
     reason = F.when(missing > 0, "missing_required_capabilities").when(~F.col("available"), "unavailable").when(policy != "eligible", F.concat(F.lit("policy_"), policy)).otherwise("eligible")
+    if scope is not None:
+        reason = F.when((reason == "eligible") & ~F.col("scope").eqNullSafe(F.lit(scope)), "scope_mismatch").otherwise(reason)
+    if trust is not None:
+        reason = F.when((reason == "eligible") & ~F.coalesce(F.col("trust") >= trust, F.lit(False)), "trust_too_low").otherwise(reason)
+    if max_freshness is not None:
+        reason = F.when((reason == "eligible") & ~F.coalesce(F.col("freshness") <= max_freshness, F.lit(False)), "stale").otherwise(reason)
     out = candidates.withColumn("score", score).withColumn("reason", reason).withColumn("eligible", reason == "eligible")
     return out
 

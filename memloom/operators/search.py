@@ -56,11 +56,12 @@ def impact(edges: DataFrame, endpoints: list[str], symbols: DataFrame, names: li
     low = term.lower()
     contains = lambda c: F.lower(F.col(c).cast("string")).contains(low)
     found = symbols.where(reduce(or_, [contains(c) for c in names])).select(F.explode(F.array(*[F.col(c).cast("string") for c in names])).alias("_endpoint")).distinct()
-    numbered = edges.withColumn("_id", F.monotonically_increasing_id())
-    ends = numbered.select("_id", F.explode(F.array(*[F.col(c).cast("string") for c in endpoints])).alias("_endpoint"))
-    direct = reduce(or_, [contains(c) for c in endpoints])
-    by_symbol = ends.join(found, "_endpoint", "left_semi").select("_id").distinct()
-    return numbered.join(by_symbol.withColumn("_hit", F.lit(True)), "_id", "left").where(direct | F.coalesce("_hit", F.lit(False))).drop("_id", "_hit")
+    hit = reduce(or_, [contains(c) for c in endpoints])
+    out = edges
+    for i, c in enumerate(endpoints):  # the names are distinct, so a join adds no rows
+        out = out.join(found.withColumnRenamed("_endpoint", f"_end{i}"), F.col(c).cast("string") == F.col(f"_end{i}"), "left")
+        hit = hit | F.col(f"_end{i}").isNotNull()
+    return out.where(hit).select(*edges.columns)
 
 
 def latest_operations(df: DataFrame, *, status: str | None = None, kind: str | None = None, as_of: int | None = None, limit: int = 100, gaps: DataFrame | None = None) -> DataFrame:

@@ -64,9 +64,35 @@ def g4_closure(t: Tables) -> DataFrame:
     return g.closure(t.spark.createDataFrame([("p5",)], "id string"), l.union(l.select("target", "source")), 3)
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 17 ORDER BY o_orderkey LIMIT 10")
+@query("""
+WITH d AS (SELECT o_orderkey AS id, max(strlen(o_orderpriority)) AS bytes FROM orders WHERE o_custkey = 17 GROUP BY 1), c AS (SELECT *, row_number() OVER w AS n, sum(bytes) OVER w AS b FROM d WINDOW w AS (ORDER BY id)),
+k AS (SELECT list_sort(list_concat(CASE WHEN max(n) > 9 THEN ['max_edges'] ELSE [] END, CASE WHEN max(b) FILTER (n <= 10) > 60 THEN ['max_bytes'] ELSE [] END)) AS r FROM c)
+SELECT id, bytes, len(r) = 0 AS complete, array_to_string(r, ',') AS truncation_reasons FROM c, k WHERE n <= 9 AND b <= 60""")
 def g5_consumers(t: Tables) -> DataFrame:
-    return t.orders.where("o_custkey = 17").orderBy("o_orderkey").limit(10).select("o_orderkey", "o_custkey")
+    edges = t.orders.select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"), F.octet_length("o_orderpriority").alias("bytes"))
+    return g.one_hop(edges, 17, "out", {"edges": 9, "bytes": 60}).withColumn("truncation_reasons", F.array_join("truncation_reasons", ","))
+
+
+@query(f"""
+WITH RECURSIVE e AS ({TREE}), w AS (SELECT 'r1' AS id, 0 AS depth UNION SELECT target, depth + 1 FROM w JOIN e ON w.id = e.source WHERE depth < 3),
+d AS (SELECT id, min(depth) AS depth FROM w GROUP BY id), c AS (SELECT *, row_number() OVER v AS n, sum(strlen(id)) OVER v AS b FROM d WHERE depth <= 2 WINDOW v AS (ORDER BY depth, id)),
+k AS (SELECT list_sort(list_concat(list_concat(CASE WHEN max(n) > 40 THEN ['max_nodes'] ELSE [] END, CASE WHEN max(b) FILTER (n <= 41) > 120 THEN ['max_bytes'] ELSE [] END), CASE WHEN (SELECT count(*) FROM d WHERE depth > 2) > 0 THEN ['max_depth'] ELSE [] END)) AS r FROM c)
+SELECT id, depth, len(r) = 0 AS complete, array_to_string(r, ',') AS truncation_reasons FROM c, k WHERE n <= 40 AND b <= 120""")
+def g6_traverse_budgeted(t: Tables) -> DataFrame:
+    found = g.closure(t.spark.createDataFrame([("r1",)], "id string"), tree(t), 3).withColumn("bytes", F.octet_length("id"))
+    return g.budgeted(found, tree(t), 2, {"nodes": 40, "bytes": 120}).select("id", "depth", "complete", F.array_join("truncation_reasons", ",").alias("truncation_reasons"))
+
+
+@query(f"""
+WITH RECURSIVE e AS ({TREE}), w AS (SELECT unnest(['n1', 'n2']) AS id, 0 AS depth UNION SELECT target, depth + 1 FROM w JOIN e ON w.id = e.source WHERE depth < 3),
+d AS (SELECT id, min(depth) AS depth, right(id, 1) AS file FROM w GROUP BY id), f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY file ORDER BY depth, id) = 1 THEN 1 ELSE 0 END AS files FROM d),
+c AS (SELECT *, row_number() OVER v AS n, sum(files) OVER v AS fs FROM f WHERE depth <= 2 WINDOW v AS (ORDER BY depth, id)),
+k AS (SELECT list_sort(list_concat(list_concat(CASE WHEN max(n) > 30 THEN ['max_nodes'] ELSE [] END, CASE WHEN max(fs) FILTER (n <= 31) > 8 THEN ['max_files'] ELSE [] END), CASE WHEN (SELECT count(*) FROM f WHERE depth > 2) > 0 THEN ['max_depth'] ELSE [] END)) AS r FROM c)
+SELECT id, file, depth, len(r) = 0 AS complete, array_to_string(r, ',') AS truncation_reasons FROM c, k WHERE n <= 30 AND fs <= 8""")
+def g4_invalidation(t: Tables) -> DataFrame:
+    files = tree(t).select(F.col("target").alias("id")).union(tree(t).select("source")).distinct().withColumn("file", F.right("id", F.lit(1)))
+    found = g.invalidation(t.spark.createDataFrame([("n1",), ("n2",)], "id string"), tree(t), files, 30, 8, 2)
+    return found.withColumn("truncation_reasons", F.array_join("truncation_reasons", ","))
 
 
 @query(f"""
@@ -83,9 +109,20 @@ def g7_validate(t: Tables) -> DataFrame:
     return a.union(g.orphans(t.orders, "o_custkey", t.customer.where("c_custkey % 10 <> 0"), "c_custkey").agg(F.lit("customer"), F.count("*")))
 
 
-@query(f"WITH e AS ({TREE}) SELECT source, target FROM e WHERE source NOT IN ('n3', 'n7') AND target NOT IN ('n3', 'n7')")
+@query(f"WITH e AS ({TREE}) SELECT source, target FROM e WHERE source NOT IN ('n3', 'n7') AND target NOT IN ('n3', 'n7') UNION SELECT 'n1', 'c5' UNION SELECT 'x1', 'n2'")
 def g8_apply_delta(t: Tables) -> DataFrame:
-    return g.incident_dropped(tree(t), t.spark.createDataFrame([("n3",), ("n7",)], "id string"), ("source", "target"))
+    gone = t.spark.createDataFrame([("n3",), ("n7",)], "id string")
+    added = t.spark.createDataFrame([("n1", "c5"), ("x1", "n2"), ("n3", "c1")], "source string, target string")
+    return g.apply_delta(tree(t), gone, added, ("source", "target"))
+
+
+@query(f"""
+WITH RECURSIVE e AS ({TREE}), w AS (SELECT 'n4' AS id, 0 AS depth UNION SELECT target, depth + 1 FROM w JOIN e ON w.id = e.source WHERE depth < 2), d AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)
+SELECT left(id, 1) AS repository, count(*) AS symbols, min(depth) AS depth FROM d GROUP BY 1""")
+def g10_federated_impact(t: Tables) -> DataFrame:
+    """What a change reaches in each repository of a federation."""
+    found = g.closure(t.spark.createDataFrame([("n4",)], "id string"), tree(t), 2)
+    return g.by_repository(found, F.left("id", F.lit(1)))
 
 
 @query(f"""

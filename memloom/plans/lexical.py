@@ -16,11 +16,9 @@ WITH b AS (SELECT item_id, {TOKENS.format("text")} AS q FROM benchmark), d AS (S
 SELECT item_id, doc_id, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM b, d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(len(list_intersect(q, t)) / len(q), 9) DESC, doc_id) <= 10""")
 def l1_lexical_score(t: Tables) -> DataFrame:
     """The ten best documents for each item: the items are the stated query set."""
-    q = t.benchmark.select("item_id", text.lexical_tokens(F.col("text")).alias("q"))
-    d = t.documents.select("doc_id", text.lexical_tokens(F.col("text")).alias("t"))
-    scored = d.crossJoin(q).select("item_id", "doc_id", x.lexical_score(F.col("q"), F.col("t")).alias("s"))
-    best = scored.withColumn("n", F.expr("row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id)")).where("n <= 10")
-    return best.select("item_id", "doc_id", F.round("s", 6).alias("score"))
+    items = t.benchmark.select("item_id", text.lexical_tokens(F.col("text")).alias("tokens"))
+    docs = t.documents.select("doc_id", text.lexical_tokens(F.col("text")).alias("tokens"))
+    return x.best_by_tokens(items, docs, "item_id", "doc_id", 10).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""

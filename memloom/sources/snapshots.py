@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.integrity import group_digest
 from ..operators.temporal import diff
 
 
 def generation_id(df: DataFrame, digest: str) -> str:
-    """An identity of the rows that doesn't depend on their order: count, and sums over halves of the digests."""
-    h = F.col(digest)
-    part = lambda k: F.sum(F.conv(F.substring(h, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)"))
-    row = df.agg(F.sha2(F.concat_ws("|", F.count("*"), *[F.coalesce(part(k), F.lit(0)) for k in range(5)]), 256).alias("id")).first()
-    return row.id
+    """An identity of the rows that doesn't depend on their order: the digest of their (hex) digests in order."""
+    row = group_digest(df.withColumn("_all", F.lit(1)), ["_all"], F.col(digest)).first()
+    return row.digest if row else "empty"
 
 
 def publish(df: DataFrame, root: str, key: str, digest: str, partition_by: list[str] | None = None) -> str:
@@ -27,11 +24,19 @@ def publish(df: DataFrame, root: str, key: str, digest: str, partition_by: list[
     if not _exists(spark, f"{path}/_SUCCESS"):
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    pointer = spark.createDataFrame([(path, key, digest)], "path string, key string, digest string").coalesce(1)
-    pointer.write.mode("append").json(f"{root}/pointers/{_sequence(spark, root):012d}-{uuid.uuid4().hex[:8]}")
+    point(spark, root, [(path, key, digest)], "path string, key string, digest string")
     return path
 
 
+def point(spark: SparkSession, root: str, rows: list[tuple], schema: str) -> None:
+    """Write the next pointer.  Its number is claimed first, by a file that only one publisher can create; the other raises."""
+    number = _sequence(spark, root)
+    fs, claim = _fs(spark, f"{root}/claims/{number:012d}")
+    if not fs.createNewFile(claim):
+        raise ValueError("generation_conflict")
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{root}/pointers/{number:012d}")
+
+
 def current(spark: SparkSession, root: str, back: int = 0) -> DataFrame | None:
     """The latest generation, or one before it."""
     names = sorted(_children(spark, f"{root}/pointers"))
@@ -77,4 +82,4 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 
 
 def _sequence(spark: SparkSession, root: str) -> int:
-    return max((int(n.split("-")[0]) for n in _children(spark, f"{root}/pointers")), default=0) + 1
+    return max((int(n) for n in _children(spark, f"{root}/pointers")), default=0) + 1

@@ -28,10 +28,14 @@ def parquet_stream(spark: SparkSession, path: str, schema: StructType | str, fil
 
 
 def _judge(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     last, content = state.get if state.exists else (-1, "")
-    for frame in frames:
+    # What one handle sends in a batch comes in several frames, in any order; ``files_per_batch`` bounds it.
+    given = [f for f in frames if len(f)]
+    for frame in [pd.concat(given).sort_values("arrival", kind="stable")] if given else []:
         verdicts = []
-        frame = frame.sort_values("arrival", kind="stable")
         for sequence, payload in zip(frame["sequence"], frame["payload"], strict=True):
             if sequence > last:
                 verdicts.append("accepted")
@@ -44,11 +48,20 @@ def _judge(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -
     state.update((last, content))
 
 
-def guarded(stream: DataFrame) -> DataFrame:
+def guarded(stream: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
     """Records (handle, sequence, payload, arrival) with a verdict: accepted, repeated, fork or regression.
 
-    State is one sequence and payload for each handle, in the state store of the checkpoint."""
-    return stream.groupBy("handle").applyInPandasWithState(_judge, ACCEPTED, "last long, content string", "append", GroupStateTimeout.NoTimeout)
+    State is one sequence and payload for each handle, in the state store of the checkpoint; with
+    ``forget_after_ms`` a handle that has sent nothing for so long is forgotten."""
+    timeout = GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+    def judge(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        timed_out = state.hasTimedOut
+        yield from _judge(key, frames, state)
+        if forget_after_ms is not None and not timed_out:
+            state.setTimeoutDuration(forget_after_ms)
+
+    return stream.groupBy("handle").applyInPandasWithState(judge, ACCEPTED, "last long, content string", "append", timeout)
 
 
 def split_by_verdict(output: str, dead_letters: str) -> Callable[[DataFrame, int], None]:
@@ -73,9 +86,10 @@ def run_available(frame: DataFrame, checkpoint: str, write: Callable[[DataFrame,
 def blocks(stream: DataFrame, block_size: int) -> DataFrame:
     """Files (path, content) as blocks of ``block_size`` bytes with number, offset and digest."""
     n = F.greatest(F.lit(1), F.ceil(F.length("content") / block_size)).cast("int")
-    out = stream.select("path", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
-    part = F.substring("content", F.col("block") * block_size + 1, block_size)  # the length is a constant
-    return out.select("path", "block", (F.col("block") * block_size).alias("offset"), part.alias("bytes"), F.sha2(part, 256).alias("sha256"))
+    # Cut first, then dealt as rows: a row carries its block, never the whole file.
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("block"), F.substring("content", i * block_size + 1, F.lit(block_size)).alias("bytes")))
+    out = stream.select("path", F.explode(cut).alias("x")).select("path", "x.block", "x.bytes")
+    return out.select("path", "block", (F.col("block") * block_size).alias("offset"), "bytes", F.sha2("bytes", 256).alias("sha256"))
 
 
 def window_counts(events: DataFrame, time: str, key: str, width: str, lateness: str) -> DataFrame:
@@ -84,10 +98,15 @@ def window_counts(events: DataFrame, time: str, key: str, width: str, lateness:
 
 
 def overlay_writer(base: Callable[[], DataFrame], output: str, key: str, digest: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that writes what each batch of rows changes against the base: one overlay for each batch."""
+    """A foreachBatch that writes what each batch of rows changes against the base: one overlay for each batch.
+
+    A row whose digest is null, or whose column ``deleted`` is true, says that the key is gone: a deletion in the overlay."""
 
     def write(batch: DataFrame, number: int) -> None:
-        changed = diff(base().join(batch.select(key), key, "left_semi").select(key, digest), batch.select(key, digest), key, [digest])
+        gone = F.col(digest).isNull()
+        if "deleted" in batch.columns:
+            gone = gone | F.coalesce("deleted", F.lit(False))
+        changed = diff(base().join(batch.select(key), key, "left_semi").select(key, digest), batch.where(~gone).select(key, digest), key, [digest])
         changed.write.mode("overwrite").parquet(str(PurePosixPath(output) / f"overlay={number}") if "://" not in output else f"{output}/overlay={number}")
 
     return write

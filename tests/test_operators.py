@@ -183,3 +183,36 @@ def test_snapshots_publish_refresh_and_fall_back(spark, tmp_path):
     assert snapshots.generation_id(first, "digest") == snapshots.generation_id(first.orderBy(F.desc("id")), "digest")
     bad = second.withColumn("digest", F.lit("x")).unionByName(second.where("id = 1"))
     assert set(values(snapshots.verify(bad, "id", "content", "digest"), "reason")) == {("key_repeated",), ("digest_mismatch",)}
+
+
+def test_segments_are_written_once_and_shared(spark, tmp_path):
+    from memloom.sources import segments
+
+    root, number = str(tmp_path), F.col("id") % 8
+    rows = lambda changed: spark.range(64).select("id", F.sha2(F.concat("id", F.when(F.col("id") == changed, "x").otherwise("")), 256).alias("digest"))
+    assert segments.publish_segments(rows(-1), root, number, "digest") == {"written": 8, "reused": 0}
+    assert segments.publish_segments(rows(13), root, number, "digest") == {"written": 1, "reused": 7}
+    assert segments.publish_segments(rows(-1), root, number, "digest") == {"written": 0, "reused": 8}
+    for back, changed in ((0, -1), (1, 13), (2, -1)):
+        assert sorted(map(tuple, segments.open_segments(spark, root, back).collect())) == sorted(map(tuple, rows(changed).collect()))
+    assert segments.open_segments(spark, root, 3) is None
+
+
+def test_two_publishers_do_not_take_one_number(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "claims").mkdir()
+    (tmp_path / "claims" / f"{1:012d}").touch()
+    with pytest.raises(ValueError, match="generation_conflict"):
+        snapshots.publish(spark.createDataFrame([(1, "a" * 64)], "id int, digest string"), str(tmp_path), "id", "digest")
+
+
+def test_best_by_tokens_pads_with_the_least_documents(spark):
+    from memloom.operators import lexical
+
+    items = spark.createDataFrame([(1, ["a", "b"]), (2, ["z"]), (3, [])], "item int, tokens array<string>")
+    docs = spark.createDataFrame([(9, ["a", "b"]), (8, ["b", "b"]), (1, ["q"]), (2, [])], "doc int, tokens array<string>")
+    got = sorted((r.item, r.doc, r.score) for r in lexical.best_by_tokens(items, docs, "item", "doc", 3).collect())
+    assert got == [(1, 1, 0.0), (1, 8, 0.5), (1, 9, 1.0), (2, 1, 0.0), (2, 2, 0.0), (2, 8, 0.0), (3, 1, 0.0), (3, 2, 0.0), (3, 8, 0.0)]
+    plan = lexical.best_by_tokens(items, docs, "item", "doc", 3)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -21,6 +21,21 @@ def test_accepted_records_equal_the_batch_and_late_ones_go_aside(spark, tmp_path
     assert sorted((r.sequence, r.verdict) for r in spark.read.parquet(dead).collect()) == [(2, "regression"), (2, "regression"), (3, "fork"), (3, "repeated")]
 
 
+def test_frames_in_any_order_are_judged_by_arrival():
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut = False, False
+
+        def update(self, value):
+            self.value = value
+
+    frames = [pd.DataFrame({"handle": ["a"], "sequence": [s], "payload": ["p"], "arrival": [s]}) for s in (3, 1, 2)]
+    state = State()
+    out = pd.concat(changelog._judge(("a",), iter(frames), state))
+    assert list(out["verdict"]) == ["accepted"] * 3 and state.value == (3, "p")
+
+
 def test_blocks_put_together_are_the_file(spark):
     df = spark.createDataFrame([("f", bytearray(b"0123456789")), ("empty", bytearray(b""))], "path string, content binary")
     got = {(r.path, r.block): (r.offset, bytes(r.bytes)) for r in changelog.blocks(df, 4).collect()}
@@ -30,10 +45,11 @@ def test_blocks_put_together_are_the_file(spark):
 def test_overlays_hold_what_a_batch_changes(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, digest string")
-    spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], "id int, digest string").coalesce(1).write.parquet(source)
+    base = base.union(spark.createDataFrame([(4, "e")], base.schema))
+    spark.createDataFrame([(1, "a"), (2, "c"), (3, "d"), (4, None)], "id int, digest string").coalesce(1).write.parquet(source)
     stream = changelog.parquet_stream(spark, source, "id int, digest string")
     changelog.run_available(stream, str(tmp_path / "c"), changelog.overlay_writer(lambda: base, out, "id", "digest")).awaitTermination()
-    assert sorted((r.id, r.change) for r in spark.read.parquet(out).collect()) == [(2, "update"), (3, "add")]
+    assert sorted((r.id, r.change) for r in spark.read.parquet(out).collect()) == [(2, "update"), (3, "add"), (4, "delete")]
 
 
 def test_window_counts_in_a_stream(spark, tmp_path):
