@@ -91,6 +91,14 @@ def rank_capabilities(candidates: DataFrame, required: list[str], scope: str | N
     return out
 
 
+MANIFEST = "candidates array<struct<handle:string,version:int,capabilities:array<string>,available:boolean,policy_eligible:boolean,cost:long,latency:long,scope:string,trust:int,freshness:long>>"
+
+
+def candidates_from_manifest(manifests: DataFrame, column: str) -> DataFrame:
+    """Candidates for ``rank_capabilities``, one row each, from JSON manifests; what a manifest doesn't say is null."""
+    return manifests.select(F.explode(F.from_json(column, MANIFEST)["candidates"]).alias("c")).select("c.*")
+
+
 def ranked(df: DataFrame, order: list, limit: int) -> DataFrame:
     top = df.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

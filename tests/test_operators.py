@@ -216,3 +216,41 @@ def test_best_by_tokens_pads_with_the_least_documents(spark):
     assert got == [(1, 1, 0.0), (1, 8, 0.5), (1, 9, 1.0), (2, 1, 0.0), (2, 2, 0.0), (2, 8, 0.0), (3, 1, 0.0), (3, 2, 0.0), (3, 8, 0.0)]
     plan = lexical.best_by_tokens(items, docs, "item", "doc", 3)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sealed_stores_and_ledgers(spark, tmp_path):
+    import pytest
+
+    from memloom.sources import stores
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    stores.save(df, str(tmp_path / "s"))
+    assert sorted(map(tuple, stores.load(spark, str(tmp_path / "s")).collect())) == [(1, "a"), (2, None)]
+    spark.createDataFrame([(1, "a"), (2, "")], df.schema).write.mode("overwrite").parquet(str(tmp_path / "s" / "rows"))
+    with pytest.raises(ValueError, match="store_digest_mismatch"):
+        stores.load(spark, str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="store_too_large"):
+        stores.save(df, str(tmp_path / "t"), max_rows=1)
+    path, schema = str(tmp_path / "ledger"), "k string, sequence long, payload string"
+    assert stores.append(spark, path, spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 1, "late")], schema), "k") == 1
+    assert stores.append(spark, path, spark.createDataFrame([("a", 2, "z"), ("b", 0, "w")], schema), "k") == 0
+    assert stores.append(spark, path, spark.createDataFrame([("a", 2, "again")], schema), "k") == 1
+    ledger = spark.read.parquet(path)
+    assert sorted((r.k, r.sequence, r.payload) for r in ledger.collect()) == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "z"), ("b", 0, "w")]
+    assert integrity.chain_faults(ledger, "k").count() == 0 and stores.valid_prefix(ledger, "k").count() == 4
+
+
+def test_memory_facade(spark, tmp_path):
+    from memloom.sdk import Memory
+    from memloom.sources import segments
+
+    rows = [("s1", "load", "a.py", "function", "load a table"), ("s2", "save", "b.py", "function", "save a table of rows"), ("s3", "other", "c.py", "class", "nothing here")]
+    symbols = spark.createDataFrame(rows, "id string, name string, path string, kind string, text string").withColumn("digest", F.sha2("id", 256))
+    relations = spark.createDataFrame([("s2", "s1", "call"), ("s3", "s2", "call")], "source string, target string, kind string").withColumn("digest", F.sha2("source", 256))
+    segments.publish_segments(symbols, str(tmp_path / "symbols"), F.crc32(F.col("path").cast("binary")) % 4, "digest")
+    segments.publish_segments(relations, str(tmp_path / "relations"), F.lit(0), "digest")
+    m = Memory.open(spark, str(tmp_path))
+    assert [r.id for r in m.find("save").collect()] == ["s2"]
+    assert {(r.id, r.depth, r.complete) for r in m.impact(["s1"], max_depth=1).collect()} == {("s1", 0, False), ("s2", 1, False)}
+    assert [r.id for r in m.context("Table rows", 100).collect()] == ["s2", "s1"]
+    assert [r.id for r in m.neighbours("s3").collect()] == ["s2"]
