@@ -39,6 +39,20 @@ def skip_and_continue(df: DataFrame, key: list[str], order: list[Column], size:
     return out.select(*key, "x.*", (F.col("at") + 1).alias("accepted_rank"))
 
 
+def line_budget(lines: DataFrame, key: str, line_no: str, budget: int) -> DataFrame:
+    """Lines (with ``bytes``) of each key, in order, up to a byte budget: cum_bytes, and kept_bytes, less than bytes for the line that is cut."""
+    order = Window.partitionBy(key).orderBy(line_no)
+    out = lines.withColumn("cum_bytes", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    left = F.greatest(F.lit(0), budget - (F.col("cum_bytes") - F.col("bytes")))
+    return out.withColumn("kept_bytes", F.least("bytes", left)).where(F.col("cum_bytes") - F.col("bytes") < budget)
+
+
+def score_floor(items: DataFrame, group: str, score: str, floor: float, share: float) -> DataFrame:
+    """Items that reach the floor and a share of their group's top score."""
+    top = items.groupBy(group).agg(F.max(score).alias("_top"))
+    return items.join(top, group).where(F.col(score) >= F.greatest(F.lit(floor), share * F.col("_top"))).drop("_top")
+
+
 def cap_per_domain(df: DataFrame, domain: str, order: list[Column], cap: int) -> DataFrame:
     return df.withColumn("domain_rank", F.row_number().over(Window.partitionBy(domain).orderBy(*order))).where(F.col("domain_rank") <= cap)
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add, and_, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What each profile weighs.
 PROFILE_WEIGHTS = {
@@ -30,12 +34,37 @@ def dominates(a: str, b: str, objectives: dict[str, bool]) -> Column:
     return reduce(or_, comparable) & reduce(and_, no_worse) & reduce(or_, better)
 
 
+def _own_frontiers(batches: Iterator[pa.RecordBatch], up: list[bool]) -> Iterator[pa.RecordBatch]:
+    """What no vector with the same NULLs dominates, of the batches of a task."""
+    table = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if table is None else pa.concat_tables([table, pa.Table.from_batches([batch])])
+        x = np.column_stack([table.column(i).to_numpy(zero_copy_only=False).astype(float) * (1 if high else -1) for i, high in enumerate(up)])
+        known, kept = ~np.isnan(x), []
+        for mask in np.unique(known, axis=0):
+            rows = np.flatnonzero((known == mask).all(axis=1))
+            y = x[rows][:, mask]
+            best = np.zeros((0, y.shape[1]))
+            for i in np.lexsort((*y.T[::-1], y.sum(axis=1)))[::-1]:  # whatever dominates a vector has a larger sum
+                if not ((best >= y[i]).all(axis=1) & (best > y[i]).any(axis=1)).any():
+                    best = np.vstack((best, y[i]))
+                    kept.append(rows[i])
+        table = table.take(pa.array(np.sort(kept)))
+    if table is not None:
+        yield from table.combine_chunks().to_batches()
+
+
 def frontier(df: DataFrame, objectives: dict[str, bool]) -> DataFrame:
     """Rows that no other row dominates.
 
-    Skipped NULLs make dominance intransitive, so every row is held against all, not against survivors.  Equal
-    objective vectors share a verdict: only distinct vectors are compared, which is what keeps the theta join small."""
+    Equal objective vectors share a verdict, so distinct ones are compared.  Skipped NULLs make dominance intransitive,
+    but not among vectors with the same NULLs: what one of them dominates, in any group, is dominated by what dominates
+    it in its own.  So each group is first reduced to its own frontier, in parallel, and the theta join sees those only."""
     vectors = df.select(*objectives).distinct()
+    if all(isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)) for c in objectives):
+        vectors = vectors.mapInArrow(lambda batches: _own_frontiers(batches, list(objectives.values())), vectors.schema)
     best = vectors.alias("v").join(vectors.alias("w"), dominates("w", "v", objectives), "left_anti")
     same = reduce(and_, [df[c].eqNullSafe(best[c]) for c in objectives])
     return df.join(best, same, "left_semi")
@@ -133,3 +162,16 @@ def promoted(rank: Column, previous: Column) -> Column:
 def drift(pairs: dict[str, tuple[Column, Column]]) -> Column:
     """Names of the fields that differ, in the given order."""
     return F.filter(F.array(*[F.when(~a.eqNullSafe(b), F.lit(n)) for n, (a, b) in pairs.items()]), lambda x: x.isNotNull())
+
+
+def policy_decision(df: DataFrame, guards: list[tuple[str, Column, str]], default: str, sealed: list[str], cached: Column | None = None) -> DataFrame:
+    """``df`` with decision, reason and receipt.  Guards (reason, condition, decision) are asked in order and the first that holds
+    decides; else a cached decision that isn't null; else the default.  The receipt is a digest of the decision and what it rests on."""
+    reason, decision = F.lit("default"), F.lit(default)
+    if cached is not None:
+        reason, decision = F.when(cached.isNotNull(), "cached").otherwise(reason), F.coalesce(cached, decision)
+    for name, condition, verdict in reversed(guards):
+        holds = F.coalesce(condition, F.lit(False))
+        reason, decision = F.when(holds, name).otherwise(reason), F.when(holds, verdict).otherwise(decision)
+    out = df.withColumn("decision", decision).withColumn("reason", reason)
+    return out.withColumn("receipt", F.sha2(F.concat_ws("|", "decision", "reason", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sealed]), 256))

@@ -15,9 +15,7 @@ SELECT doc_id, n AS line_no, bytes, cum_bytes, least(bytes, greatest(0, 400 - (c
 def c1_line_context(t: Tables) -> DataFrame:
     """The lines of each document in a byte budget; the last one is cut to what is left."""
     lines = t.documents.select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("line_no"), F.octet_length("line").alias("bytes"))
-    w = "sum(bytes) OVER (PARTITION BY doc_id ORDER BY line_no)"
-    out = lines.withColumn("cum_bytes", F.expr(w)).withColumn("kept_bytes", F.least("bytes", F.greatest(F.lit(0), 400 - (F.col("cum_bytes") - F.col("bytes")))))
-    return out.where("cum_bytes - bytes < 400").withColumn("tokens", text.estimated_tokens(F.col("kept_bytes")))
+    return c.line_budget(lines, "doc_id", "line_no", 400).withColumn("tokens", text.estimated_tokens(F.col("kept_bytes")))
 
 
 B2 = """
@@ -71,8 +69,7 @@ SELECT conv_id, turn, round(score, 6) AS score FROM f WHERE score >= floor""")
 def c10_score_floor(t: Tables) -> DataFrame:
     """Items that reach the floor and three quarters of their group's top score."""
     s = t.conversations.select("conv_id", "turn", (F.length("text") / F.lit(1000.0)).alias("score"))
-    top = s.groupBy("conv_id").agg(F.max("score").alias("top"))
-    return s.join(top, "conv_id").where(F.col("score") >= F.greatest(F.lit(0.12), 0.75 * F.col("top"))).select("conv_id", "turn", F.round("score", 6).alias("score"))
+    return c.score_floor(s, "conv_id", "score", 0.12, 0.75).select("conv_id", "turn", F.round("score", 6).alias("score"))
 
 
 @query("""

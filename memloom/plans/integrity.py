@@ -56,8 +56,8 @@ def m7_nondeterministic(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, CAST(NULL AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT NULL, user_id % 5, count(*) FROM events GROUP BY 2")
 def a1_grouping_sets(t: Tables) -> DataFrame:
-    t.events.withColumn("bucket", F.col("user_id") % 5).createOrReplaceTempView("memloom_a1")
-    return t.spark.sql("SELECT event_type, bucket, count(*) AS n FROM memloom_a1 GROUP BY GROUPING SETS ((event_type), (bucket))")
+    events = t.events.select("event_type", (F.col("user_id") % 5).alias("bucket"))
+    return events.groupingSets([["event_type"], ["bucket"]], "event_type", "bucket").agg(F.count("*").alias("n"))
 
 
 @query("SELECT d.lang, count(doc_id) AS n FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('pt')) d(lang) LEFT JOIN documents USING (lang) GROUP BY 1")

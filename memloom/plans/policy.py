@@ -147,13 +147,17 @@ def z13_ratios(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT user_id, least(1, sum(value) / 4000) AS load, count(*) FILTER (event_type = 'error') / count(*) AS errors FROM events GROUP BY 1)
-SELECT user_id, round(load, 4) AS load, CASE WHEN errors > 0.25 THEN 'regressed' WHEN load > 0.4 THEN 'throttle' ELSE 'proceed' END AS decision FROM r""")
+WITH r AS (SELECT user_id, round(least(1, sum(value) / 4000), 4) AS load, count(*) FILTER (event_type = 'error') / count(*) AS errors, count(*) FILTER (event_type = 'purchase') AS bought FROM events GROUP BY 1),
+d AS (SELECT *, CASE WHEN user_id % 13 = 0 THEN 'generation_drift' WHEN errors > 0.25 THEN 'error_rate' WHEN load > 0.4 THEN 'pressure' WHEN user_id % 3 = 0 THEN 'cached' ELSE 'default' END AS reason FROM r),
+v AS (SELECT *, CASE reason WHEN 'generation_drift' THEN 'revalidate' WHEN 'error_rate' THEN 'regressed' WHEN 'pressure' THEN 'throttle' WHEN 'cached' THEN 'hold' ELSE 'proceed' END AS decision FROM d)
+SELECT user_id, load, decision, reason, sha256(concat(decision, '|', reason, '|', user_id, '|', bought)) AS receipt FROM v""")
 def i9_policy_decision(t: Tables) -> DataFrame:
-    """Pressure, guardrail and placement in one verdict for each user."""
-    load = F.least(F.lit(1.0), F.sum("value") / 4000)
-    r = t.events.groupBy("user_id").agg(load.alias("load"), (F.count_if(F.col("event_type") == "error") / F.count("*")).alias("errors"))
-    return r.select("user_id", F.round("load", 4).alias("load"), F.when(F.col("errors") > 0.25, "regressed").when(F.col("load") > 0.4, "throttle").otherwise("proceed").alias("decision"))
+    """Drift, guardrail, pressure and cached verdicts in one sealed decision for each user."""
+    load = F.round(F.least(F.lit(1.0), F.sum("value") / 4000), 4)
+    r = t.events.groupBy("user_id").agg(load.alias("load"), (F.count_if(F.col("event_type") == "error") / F.count("*")).alias("errors"), F.count_if(F.col("event_type") == "purchase").alias("bought"))
+    guards = [("generation_drift", F.col("user_id") % 13 == 0, "revalidate"), ("error_rate", F.col("errors") > 0.25, "regressed"), ("pressure", F.col("load") > 0.4, "throttle")]
+    out = p.policy_decision(r, guards, "proceed", ["user_id", "bought"], F.when(F.col("user_id") % 3 == 0, "hold"))
+    return out.select("user_id", "load", "decision", "reason", "receipt")
 
 
 @query("SELECT l_orderkey, l_linenumber, (l_returnflag <> 'R' AND coalesce(CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_quantity / 25 END > 1, true)) AS usable FROM lineitem")

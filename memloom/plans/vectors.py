@@ -59,9 +59,9 @@ def v4_pack_nibbles(t: Tables) -> DataFrame:
     return packed.select("vec_id", "packed", (vector.unpack_nibbles(F.col("packed"), DIM) == F.col("codes")).alias("round_trip"))
 
 
-@query()
+@query(f"SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], {_Q}), 5) AS score FROM embeddings ORDER BY list_inner_product(embedding::DOUBLE[], {_Q}) DESC, vec_id LIMIT 10")
 def v6_two_stage(t: Tables) -> DataFrame:
-    """Rotated 4-bit candidates, then exact scores.  No SQL: near-equal approximate scores depend on the order of sums."""
+    """Rotated 4-bit candidates, then exact scores: held against the exact ten."""
     return v.two_stage(t.embeddings, QUERY, "vec_id", "embedding", "dot", 10).select("vec_id", F.round("score", 5).alias("score"))
 
 
@@ -103,9 +103,9 @@ def v10_lane_exact(t: Tables) -> DataFrame:
     return v.lane_search(t.embeddings, QUERY, "vec_id", "embedding", "Q0", 10).select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query()
+@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 5) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q}) DESC, vec_id LIMIT 10")
 def v10_lane_rerank(t: Tables) -> DataFrame:
-    """4-bit candidates, exact scores.  No SQL: ties of approximate scores depend on the order of sums."""
+    """4-bit candidates, exact scores: held against the exact ten."""
     return v.lane_search(t.embeddings, QUERY, "vec_id", "embedding", "Q2b", 10).select("vec_id", F.round("score", 5).alias("score"))
 
 

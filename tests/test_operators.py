@@ -254,3 +254,36 @@ def test_memory_facade(spark, tmp_path):
     assert {(r.id, r.depth, r.complete) for r in m.impact(["s1"], max_depth=1).collect()} == {("s1", 0, False), ("s2", 1, False)}
     assert [r.id for r in m.context("Table rows", 100).collect()] == ["s2", "s1"]
     assert [r.id for r in m.neighbours("s3").collect()] == ["s2"]
+
+
+def test_two_stage_recall(spark, sf):
+    """Recall of ten against exact search, over queries of the table itself."""
+    from memloom.operators import vectors
+
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").cache()
+    found = {"two_stage": 0, "lane": 0}
+    rows = df.orderBy("vec_id").limit(8).collect()
+    for r in rows:
+        q = list(r.embedding)
+        ids = lambda x: {y.vec_id for y in x.select("vec_id").collect()}
+        found["two_stage"] += len(ids(vectors.exact(df, q, "vec_id", "embedding", "dot", 10)) & ids(vectors.two_stage(df, q, "vec_id", "embedding", "dot", 10)))
+        found["lane"] += len(ids(vectors.exact(df, q, "vec_id", "embedding", "cosine", 10)) & ids(vectors.lane_search(df, q, "vec_id", "embedding", "Q2b", 10)))
+    assert min(found.values()) >= 0.9 * 10 * len(rows), found
+
+
+def test_frontier_of_groups_equals_all_pairs(spark):
+    import random
+
+    from memloom.operators import policy
+
+    r = random.Random(2)
+    rows = [(i, *(r.choice([None, 1.0, 2.0, 3.0, 4.0]) for _ in range(3))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    up = (True, False, True)
+
+    def dominates(x, y):
+        pairs = [(p, q) if u else (-p, -q) for p, q, u in zip(x[1:], y[1:], up, strict=True) if p is not None and q is not None]
+        return bool(pairs) and all(p >= q for p, q in pairs) and any(p > q for p, q in pairs)
+
+    want = {x[0] for x in rows if not any(dominates(y, x) for y in rows)}
+    assert {x.id for x in policy.frontier(df, {"a": True, "b": False, "c": True}).collect()} == want
