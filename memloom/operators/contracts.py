@@ -92,6 +92,40 @@ def settings(text: Column, known: list[str]) -> tuple[Column, Column]:
     return F.when(fault.isNull(), F.map_from_arrays(names, F.transform(values, lambda v: v.try_cast("long")))), fault
 
 
+def index_faults(indexes: DataFrame, generation: int, backend: str) -> DataFrame:
+    """Stored vector indexes (id, rows, dimensions, bits, bytes, generation, backend) with the bytes that their codes and a
+    4-byte scale for each row take, and the first reason not to read them."""
+    wanted = F.col("rows").cast("long") * (F.floor((F.col("dimensions") * F.col("bits") + 7) / 8) + 4)
+    return indexes.withColumn("expected_bytes", wanted).withColumn("reason", first_reason([
+        ("generation_missing", F.col("generation").isNull()), ("generation_stale", F.col("generation") < generation), ("generation_ahead", F.col("generation") > generation),
+        ("backend_mismatch", ~F.col("backend").eqNullSafe(F.lit(backend))), ("size_mismatch", ~F.col("bytes").eqNullSafe(F.col("expected_bytes"))),
+    ]))
+
+
+def capabilities(snapshot: DataFrame, host: str, name: str, usable: Column, aliases: dict[str, list[str]]) -> DataFrame:
+    """A row for each host of a snapshot with a boolean for each capability: any of its aliases, in any case, is usable there."""
+    spelled = F.lower(F.trim(F.col(name)))
+    flags = [F.coalesce(F.bool_or(spelled.isin([a.lower() for a in (capability, *others)]) & usable), F.lit(False)).alias(capability) for capability, others in aliases.items()]
+    return snapshot.groupBy(host).agg(*flags)
+
+
+def fenced(claims: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Claims (key, fence) against what is held (key, fence): accepted, fence_conflict or fence_stale.
+
+    A claim must name a fence above the held one; of claims with the same fence on one key none is accepted."""
+    several = claims.groupBy(key, "fence").agg(F.count("*").alias("_claims"))
+    now = held.groupBy(F.col(key).alias("_key")).agg(F.max("fence").alias("_held"))
+    judged = several.join(now, F.col(key).eqNullSafe(F.col("_key")), "left")
+    outcome = F.when(F.col("fence").isNull() | (F.col("fence") <= F.col("_held")), "fence_stale").when(F.col("_claims") > 1, "fence_conflict").otherwise("accepted")
+    return judged.select(key, "fence", F.col("_claims").alias("claims"), outcome.alias("outcome"))
+
+
+def unleased(rows: DataFrame, leases: DataFrame, key: str, now: Column) -> DataFrame:
+    """Rows that no lease (key, expires, released) pins at a time; a lease without an end pins until it is released."""
+    live = leases.where(~F.coalesce(F.col("released"), F.lit(False)) & (F.col("expires").isNull() | (F.col("expires") > now)))
+    return rows.join(live.select(key).distinct(), key, "left_anti")
+
+
 # -- caches -------------------------------------------------------------------------------------------
 
 

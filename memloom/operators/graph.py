@@ -35,25 +35,39 @@ def best_hop(edges: DataFrame, key: str, order: list) -> DataFrame:
     return edges.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+#: A frontier is broadcast up to this many bytes of ids and paths; beyond, it is joined by a shuffle.
+BROADCAST_FRONTIER = 16 << 20
+
+
 def closure(start: DataFrame, edges: DataFrame, max_depth: int, keep_path: bool = False) -> DataFrame:
     """Nodes (id, depth[, path]) reachable from start (id) over edges (source, target), each by its first discovery.
 
-    Breadth first: each round joins the frontier to the edges and drops what is known.  Rounds are bounded by
-    ``max_depth``; a checkpoint of the edges and of each frontier keeps the plan short and lets lost executors go."""
-    spark = start.sparkSession
-    checkpoints(spark)
+    Breadth first: each round reads the edges, joins them to the frontier and drops what is known.  A frontier is
+    measured and broadcast only while it is small, so edges are not shuffled then.  Rounds are bounded by
+    ``max_depth``; a checkpoint of each frontier keeps the plan short and lets lost executors go.  A null id is no node."""
+    checkpoints(start.sparkSession)
+
+    def measured(df: DataFrame) -> tuple[DataFrame, int]:
+        """``df`` stored, and about how many bytes a copy of it takes."""
+        df = df.checkpoint()
+        size = F.octet_length(F.col("id").cast("string")) + 64
+        return df, df.agg(F.coalesce(F.sum(size * (F.size("path") + 1) if keep_path else size), F.lit(0))).first()[0]
+
+    def small(df: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(df) if size <= BROADCAST_FRONTIER else df
+
     path = [F.array("id").alias("path")] if keep_path else []
-    seen = start.select("id").distinct().select("id", F.lit(0).alias("depth"), *path)
-    frontier = seen
-    step = edges.select("source", "target").distinct().checkpoint()
+    frontier, size = measured(start.where("id IS NOT NULL").select("id").distinct().select("id", F.lit(0).alias("depth"), *path))
+    seen, known = frontier, size
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(step, frontier.id == step.source).select(F.col("target").alias("id"), *([F.concat("path", F.array("target")).alias("path")] if keep_path else []))
-        first = reached.groupBy("id").agg(*([F.min("path").alias("path")] if keep_path else [F.count("*").alias("_n")]))
-        frontier = first.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), *(["path"] if keep_path else []))
-        frontier = frontier.checkpoint()
-        if frontier.isEmpty():
+        if not size:
             break
-        seen = seen.unionByName(frontier)
+        step = edges.where("target IS NOT NULL").select("source", "target").join(small(frontier.withColumnRenamed("id", "source"), size), "source")
+        way = step.select(F.col("target").alias("id"), *([F.concat("path", F.array("target")).alias("path")] if keep_path else []))
+        first = way.groupBy("id").agg(F.min("path").alias("path")) if keep_path else way.distinct()
+        frontier, size = measured(first.join(small(seen.select("id"), known), "id", "left_anti").select("id", F.lit(depth).alias("depth"), *(["path"] if keep_path else [])))
+        if size:
+            seen, known = seen.unionByName(frontier), known + size
     return seen
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoints
+
 
 def build_chain(df: DataFrame, key: str, sequence: str, payload: str) -> DataFrame:
     """Rows of each chain with prev_hash and record_hash = sha256(prev_hash + payload).
@@ -69,11 +71,31 @@ def counts_with_zeros(df: DataFrame, column: str, domain: list[str]) -> DataFram
 
 
 def summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Mean, interpolated median, and nearest-rank p95 and p99."""
-    return df.groupBy(*group).agg(
-        F.avg(value).alias("mean"), F.expr(f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {value})").alias("median"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"), F.expr(f"percentile_disc(0.99) WITHIN GROUP (ORDER BY {value})").alias("p99"),
-    )
+    """Mean, interpolated median, and nearest-rank p95 and p99, exact: no task holds a whole group.
+
+    Distinct values with their counts are dealt by range; sums before each range tell which ranges hold the wanted
+    ranks, and only those are ranked value by value.  Null values are not counted; a group of them alone has nulls."""
+    checkpoints(df.sparkSession)
+    counts = df.groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    dealt = counts.repartitionByRange(*group, "_v").select("*", F.spark_partition_id().alias("_part")).checkpoint()  # ranges must not move between its uses
+    real = dealt.where("_v IS NOT NULL")
+    of_group = Window.partitionBy(*group)
+    parts = real.groupBy(*group, "_part").agg(F.sum("_n").alias("_m"), F.sum(F.col("_v") * F.col("_n")).alias("_s"))
+    before = F.coalesce(F.sum("_m").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*group, "_part", "_m", before.alias("_before"), F.sum("_m").over(of_group).alias("_all"), F.sum("_s").over(of_group).alias("_sum"))
+    nearest = lambda percent: F.expr(f"({percent} * _all + 99) div 100")
+    ranks = {"_low": F.expr("(_all + 1) div 2"), "_high": F.expr("_all div 2 + 1"), "p95": nearest(95), "p99": nearest(99)}
+    wanted = F.array(*ranks.values())
+    parts = parts.where(F.exists(wanted, lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_m"))))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "_part"]]
+    inside = real.alias("a").join(parts.alias("b"), same).select("a.*", "_before", "_all", "_sum")
+    end = F.col("_before") + F.sum("_n").over(Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.withColumn("_end", end)
+    at = lambda r: F.max(F.when((r <= F.col("_end")) & (r > F.col("_end") - F.col("_n")), F.col("_v")))
+    found = ranked.groupBy(*group).agg(F.max(F.col("_sum") / F.col("_all")).alias("mean"), *[at(r).alias(name) for name, r in ranks.items()])
+    found = found.select(*group, "mean", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "p95", "p99")
+    empty = dealt.groupBy(*group).agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))).alias("_n")).where("_n IS NULL").select(*group)
+    return found.unionByName(empty, allowMissingColumns=True)
 
 
 def group_digest(df: DataFrame, group: list[str], digest: Column, prefix: int = 3) -> DataFrame:

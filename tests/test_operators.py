@@ -287,3 +287,50 @@ def test_frontier_of_groups_equals_all_pairs(spark):
 
     want = {x[0] for x in rows if not any(dominates(y, x) for y in rows)}
     assert {x.id for x in policy.frontier(df, {"a": True, "b": False, "c": True}).collect()} == want
+
+
+def test_summary_is_exact_with_ties_nulls_and_empty_groups(spark):
+    import math
+    import random
+
+    rows = [("a", float(random.Random(i).randrange(40))) for i in range(301)] + [("b", None), ("c", 2.5), ("c", None), (None, 1.0), (None, 4.0)]
+    got = {r.g: r for r in integrity.summary(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g in ("a", "c", None):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        n = len(v)
+        want = (sum(v) / n, (v[(n - 1) // 2] + v[n // 2]) / 2, v[math.ceil(95 * n / 100) - 1], v[math.ceil(99 * n / 100) - 1])
+        assert (round(got[g]["mean"], 9), got[g]["median"], got[g]["p95"], got[g]["p99"]) == (round(want[0], 9), *want[1:])
+    assert got["b"][1:] == (None, None, None, None)
+    assert integrity.summary(spark.createDataFrame([], "g string, v double"), ["g"], "v").count() == 0
+
+
+def test_closure_is_the_same_with_and_without_broadcasts(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, (i * 7 + k) % 50) for i in range(50) for k in (1, 2)] + [(3, None), (None, 4), (3, 22)], "source int, target int")
+    start = spark.createDataFrame([(3,), (3,), (None,)], "id int")
+    got = [sorted(map(tuple, graph.closure(start, edges, 4, keep_path).collect())) for keep_path in (False, True)]
+    monkeypatch.setattr(graph, "BROADCAST_FRONTIER", 0)
+    assert got == [sorted(map(tuple, graph.closure(start, edges, 4, keep_path).collect())) for keep_path in (False, True)]
+    seen, frontier = {3: 0}, {3}
+    for depth in range(1, 5):
+        frontier = {(i * 7 + k) % 50 for i in frontier for k in (1, 2)} - set(seen)
+        seen |= dict.fromkeys(frontier, depth)
+    assert dict(got[0]) == seen
+    assert graph.closure(start.where("id > 9"), edges, 3).count() == 0
+
+
+def test_frames_round_trip_and_tell_what_is_bad(spark):
+    from memloom.operators import frames
+
+    rows = [(["a", "", "é" * 300, None, "z"],), ([],), (None,)]
+    d = spark.createDataFrame(rows, "p array<string>").select(frames.encode(F.col("p")).alias("data"))
+    got = [r.d for r in d.select(frames.decode(F.col("data"), 8, 1000).alias("d")).collect()]
+    assert [bytes(x).decode() for x in got[0].frames] == ["a", "", "é" * 300, "z"]
+    assert got[0].reason is None
+    assert (got[1].frames, got[1].reason) == ([], None)
+    assert got[2] is None
+    one = d.limit(1)
+    assert one.select(frames.decode(F.col("data"), 8, 500).alias("d")).first().d.reason == "frame_too_large"
+    assert one.select(frames.decode(F.col("data"), 2, 1000).alias("d")).first().d.reason == "too_many_frames"
+    assert one.select(frames.decode(F.expr("data || X'ff'"), 8, 1000).alias("d")).first().d.reason == "frame_truncated"
+    assert one.select(frames.decode(F.expr("X'FFFFFFFF' || data"), 8, 1000).alias("d")).first().d.reason == "frame_too_large"
