@@ -6,7 +6,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,6 +179,12 @@ def flights(requests: DataFrame, key: str, time: str, duration: int) -> DataFram
     return dealt.mapInArrow(run, T.StructType([*requests.schema.fields, T.StructField("flight", T.LongType())]))
 
 
+def live_hits(requests: DataFrame, key: str, time: str, ttl: int) -> DataFrame:
+    """Requests to a cache whose entries live for ``ttl`` after their last use, with ``hit``."""
+    before = F.lag(time).over(Window.partitionBy(key).orderBy(time))
+    return requests.withColumn("hit", F.coalesce(F.col(time) - before <= ttl, F.lit(False)))
+
+
 def decisions(puts: DataFrame, key: list[str], generation: str, result: str) -> DataFrame:
     """What a decision cache holds after all puts: key, generation, result, state (reusable, or quarantined where results contradict)."""
     state = F.when(F.count_distinct(result) > 1, "quarantined").otherwise("reusable")

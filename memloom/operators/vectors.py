@@ -13,13 +13,18 @@ def exact(df: DataFrame, query: list[float], key: str, column: str, metric: str,
     return df.withColumn("score", vector.metric(metric, vector.doubles(F.col(column)), q)).orderBy(F.desc("score"), key).limit(k)
 
 
-def two_stage(df: DataFrame, query: list[float], key: str, column: str, metric: str, k: int, candidates: int | None = None, seed: int = 7) -> DataFrame:
-    """Candidates by the score of rotated 4-bit codes, then the exact score: two top-k passes, nothing else is sorted."""
+def approximate(df: DataFrame, query: list[float], key: str, column: str, metric: str, k: int, seed: int = 7) -> DataFrame:
+    """The k best by the score of rotated 4-bit codes (``approx``): the vectors themselves are not compared."""
     n = len(query)
     q = F.array(*[F.lit(float(v)) for v in query])
     code = lambda v: vector.dequantise(vector.quantise(vector.rotate(v, n, seed)))
     v = vector.doubles(F.col(column))
-    first = df.withColumn("approx", vector.metric(metric, code(v), code(q))).orderBy(F.desc("approx"), key).limit(candidates or 4 * k)
+    return df.withColumn("approx", vector.metric(metric, code(v), code(q))).orderBy(F.desc("approx"), key).limit(k)
+
+
+def two_stage(df: DataFrame, query: list[float], key: str, column: str, metric: str, k: int, candidates: int | None = None, seed: int = 7) -> DataFrame:
+    """Candidates by the score of rotated 4-bit codes, then the exact score: two top-k passes, nothing else is sorted."""
+    first = approximate(df, query, key, column, metric, candidates or 4 * k, seed)
     return exact(first, query, key, column, metric, k)
 
 

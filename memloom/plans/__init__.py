@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("search", "context", "graph", "lexical", "vectors", "temporal", "integrity", "policy", "extraction", "languages", "contracts", "frames"):
+for _name in ("search", "context", "graph", "lexical", "vectors", "temporal", "integrity", "policy", "extraction", "languages", "contracts", "frames", "surface"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -45,6 +45,21 @@ def current(spark: SparkSession, root: str, back: int = 0) -> DataFrame | None:
     return spark.read.parquet(spark.read.schema("path string, key string, digest string").json(f"{root}/pointers/{names[-1 - back]}").first().path)
 
 
+def recover_previous(spark: SparkSession, root: str, content: str) -> DataFrame:
+    """Make the generation before the latest one the latest again, after its rows are verified; raises where there is none or it is broken.
+
+    The latest pointer stays where it is: a new one goes after it."""
+    names = sorted(_children(spark, f"{root}/pointers"))
+    if len(names) < 2:
+        raise ValueError("generation_missing")
+    row = spark.read.schema("path string, key string, digest string").json(f"{root}/pointers/{names[-2]}").first()
+    rows = spark.read.parquet(row.path)
+    if not verify(rows, row.key, content, row.digest).isEmpty():
+        raise ValueError("generation_tampered")
+    point(spark, root, [tuple(row)], "path string, key string, digest string")
+    return current(spark, root)
+
+
 def refresh(spark: SparkSession, root: str, df: DataFrame, key: str, digest: str) -> dict[str, int]:
     """Publish ``df`` if it differs; how many rows were added, deleted, updated and reused."""
     old = current(spark, root)
