@@ -50,14 +50,15 @@ def lines(x: Column) -> Column:
     return F.split(F.coalesce(x, F.lit("")), "\r\n|\n|\r", -1)
 
 
-_ASSIGNMENT = r"(?i)\b(api[_-]?key|access[_-]?token|token|secret|password)\b(\s*[:=]\s*)([^\s,;]+)"
-_BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}"
+# What counts as a secret in a context, the same for all who read it.
+ASSIGNMENT = r"(?i)\b(api[_-]?key|access[_-]?token|token|secret|password)\b(\s*[:=]\s*)([^\s,;]+)"
+BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}"
 
 
 def redact(x: Column) -> tuple[Column, Column]:
     """The text with secrets replaced, and whether there were any."""
-    once = F.regexp_replace(x, _ASSIGNMENT, "$1$2<redacted>")
-    return F.regexp_replace(once, _BEARER, "Bearer <redacted>"), F.regexp_like(x, F.lit(_ASSIGNMENT)) | F.regexp_like(once, F.lit(_BEARER))
+    once = F.regexp_replace(x, ASSIGNMENT, "$1$2<redacted>")
+    return F.regexp_replace(once, BEARER, "Bearer <redacted>"), F.regexp_like(x, F.lit(ASSIGNMENT)) | F.regexp_like(once, F.lit(BEARER))
 
 
 def _utf8_prefix(text: pd.Series, limit: pd.Series) -> pd.Series:

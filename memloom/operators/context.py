@@ -78,6 +78,13 @@ def drop_contained_spans(spans: DataFrame, source: str, handle: str, start: str,
     return a.join(b, (F.col(source) == F.col("o_" + source)) & inside & (longer | same), "left_anti")
 
 
+def union_sources(sources: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """The named columns of all sources, with ``type``: the name of the source that a row comes from."""
+    if not sources:
+        raise ValueError("sources_missing")
+    return reduce(DataFrame.unionByName, [df.select(*columns, F.lit(name).alias("type")) for name, df in sources.items()])
+
+
 def fidelity(content: Column, level: Column, summary_bytes: int = 160) -> Column:
     return F.when(level == "metadata", F.lit("")).when(level == "summary", F.substring(content, 1, summary_bytes)).otherwise(content)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -122,6 +122,12 @@ def page(content: Column, offset: int, limit: int) -> tuple[Column, Column, Colu
     return part, following, following >= F.length(content)
 
 
+def grouped(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows with their ``position`` in their group and the group's ``size``: one shuffle that spills, and no list of a group."""
+    same = Window.partitionBy(*group)
+    return df.withColumns({"size": F.count(F.lit(1)).over(same), "position": F.row_number().over(same.orderBy(*order))})
+
+
 def page_span(offset: int, length: int, page_size: int) -> tuple[int, int]:
     """First and last page that a byte range touches."""
     return offset // page_size, max(offset, offset + length - 1) // page_size

@@ -84,12 +84,12 @@ def c11_fidelity(t: Tables) -> DataFrame:
 
 @query("SELECT id, type, n FROM (SELECT doc_id AS id, 'code' AS type, n_chars AS n FROM documents UNION ALL SELECT page_id, 'knowledge', length(html) FROM pages UNION ALL SELECT event_id, 'operations', length(props) FROM events)")
 def c13_union_sources(t: Tables) -> DataFrame:
-    parts = [
-        t.documents.select(F.col("doc_id").alias("id"), F.lit("code").alias("type"), F.col("n_chars").cast("long").alias("n")),
-        t.pages.select(F.col("page_id").alias("id"), F.lit("knowledge").alias("type"), F.length("html").cast("long").alias("n")),
-        t.events.select(F.col("event_id").alias("id"), F.lit("operations").alias("type"), F.length("props").cast("long").alias("n")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    long = lambda c: F.length(c).cast("long").alias("n")
+    sources = {
+        "code": t.documents.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("long").alias("n")), "knowledge": t.pages.select(F.col("page_id").alias("id"), long("html")),
+        "operations": t.events.select(F.col("event_id").alias("id"), long("props")),
+    }
+    return c.union_sources(sources, ["id", "n"])
 
 
 @query("""
@@ -100,10 +100,9 @@ def c15_packet_checks(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", reasons.alias("reasons"))
 
 
-@query(r"""
-WITH r AS (SELECT doc_id, text, regexp_replace(text, '(?i)\b(api[_-]?key|access[_-]?token|token|secret|password)\b(\s*[:=]\s*)([^\s,;]+)', '\1\2<redacted>', 'g') AS once FROM documents)
-SELECT doc_id, sha256(regexp_replace(once, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}', 'Bearer <redacted>', 'g')) AS digest,
- regexp_matches(text, '(?i)\b(api[_-]?key|access[_-]?token|token|secret|password)\b(\s*[:=]\s*)([^\s,;]+)') OR regexp_matches(once, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}') AS redacted FROM r""")
+@query(f"""
+WITH r AS (SELECT doc_id, text, regexp_replace(text, '{text.ASSIGNMENT}', '\\1\\2<redacted>', 'g') AS once FROM documents)
+SELECT doc_id, sha256(regexp_replace(once, '{text.BEARER}', 'Bearer <redacted>', 'g')) AS digest, regexp_matches(text, '{text.ASSIGNMENT}') OR regexp_matches(once, '{text.BEARER}') AS redacted FROM r""")
 def c16_redact(t: Tables) -> DataFrame:
     value, flag = text.redact(F.col("text"))
     return t.documents.select("doc_id", F.sha2(value, 256).alias("digest"), flag.alias("redacted"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, search
 from ..sources import code
 from .registry import Tables, query
 
@@ -56,14 +56,14 @@ def s8_orphan_edges(t: Tables) -> DataFrame:
     return graph.orphans(t.lineitem, "l_orderkey", t.orders.where("o_orderkey % 97 <> 0"), "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT source, lang, count(*) AS n, list_sort(list(doc_id)) AS ids FROM documents GROUP BY 1, 2")
+@query("SELECT source, lang, doc_id, count(*) OVER (PARTITION BY source, lang) AS size, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS position FROM documents")
 def s12_grouped(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return search.grouped(t.documents.select("source", "lang", "doc_id"), ["source", "lang"], ["doc_id"])
 
 
 @query("SELECT doc_id, substring(text, 11, 40) AS part FROM documents")
 def s14_read_range(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.substring("text", 11, 40).alias("part"))
+    return t.documents.select("doc_id", search.page(F.col("text"), 10, 40)[0].alias("part"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'available' WHEN 3 THEN 'unavailable' ELSE 'fallback' END AS support FROM documents")

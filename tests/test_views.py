@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.operators import contracts, vectors, views
+from memloom.operators import context, contracts, search, vectors, views
 from memloom.sources import snapshots
 
 
@@ -76,3 +76,11 @@ def test_candidates_by_codes_hold_the_nearest(spark, sf):
         near = {r.vec_id for r in vectors.approximate(embeddings, list(q.embedding), "vec_id", "embedding", "dot", 40).collect()}
         found, wanted = found + len(best & near), wanted + len(best)
     assert found >= 0.9 * wanted
+
+
+def test_grouped_and_union_of_sources(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 1), (None, 5), (None, 4)], "g string, i int")
+    assert rows(search.grouped(df, ["g"], ["i"])) == [("a", 1, 2, 1), ("a", 2, 2, 2), (None, 4, 2, 1), (None, 5, 2, 2)]
+    assert rows(context.union_sources({"x": df, "y": df.limit(0)}, ["i"])) == [(1, "x"), (2, "x"), (4, "x"), (5, "x")]
+    with pytest.raises(ValueError, match="sources_missing"):
+        context.union_sources({}, ["i"])
