@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector
@@ -80,3 +80,9 @@ def promotion(metrics: DataFrame, floors: dict[str, float]) -> DataFrame:
     """metrics with the names of the floors that aren't reached (an unknown metric reaches none) and PROMOTE or REJECT."""
     failed = F.filter(F.array(*[F.when(~F.coalesce(F.col(m) >= floor, F.lit(False)), F.lit(m)) for m, floor in floors.items()]), lambda x: x.isNotNull())
     return metrics.withColumn("failed", failed).withColumn("gate", F.when(F.size("failed") == 0, "PROMOTE").otherwise("REJECT"))
+
+
+def fixture(spark: SparkSession, rows: int, dimensions: int, seed: int) -> DataFrame:
+    """vec_id, embedding: vectors that depend on the seed alone, whatever the number of rows or tasks; values are -1 to 1 by 15ths."""
+    digit = lambda j: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "id", j), 256), 1, 1), 16, 10).cast("double")
+    return spark.range(rows).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda j: (digit(j) - 7.5) / 7.5).alias("embedding"))

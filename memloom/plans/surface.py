@@ -12,7 +12,7 @@ from ..functions import text, vector
 from ..operators import contracts, integrity, search, temporal, vectors
 from ..operators import views as x
 from ..session import checkpoints
-from ..sources import segments, snapshots, stores
+from ..sources import code, segments, snapshots, stores
 from ..streaming import changelog
 from .registry import Tables, query
 
@@ -401,3 +401,15 @@ def v5_approximate_candidates(t: Tables) -> DataFrame:
     from .vectors import QUERY
 
     return vectors.approximate(t.embeddings, QUERY, "vec_id", "embedding", "dot", 40).select("vec_id", F.round("approx", 5).alias("approx"))
+
+
+@query("""
+SELECT i AS vec_id, list_transform(range(0, 16), lambda j: round((strpos('0123456789abcdef', substr(sha256(concat('11|', i, '|', j)), 1, 1)) - 8.5) / 7.5, 6)) AS embedding FROM (SELECT unnest(range(0, 500)) AS i)""")
+def v13_fixture(t: Tables) -> DataFrame:
+    return vectors.fixture(t.spark, 500, 16, 11).select("vec_id", F.transform("embedding", lambda y: F.round(y, 6)).alias("embedding"))
+
+
+@query("SELECT suffix, language, CASE language WHEN 'python' THEN 'available' ELSE 'fallback' END AS support FROM (VALUES ('.py', 'python'), ('.ts', 'typescript'), ('.tsx', 'typescript'), ('.rs', 'rust'), ('.cs', 'csharp')) AS v(suffix, language)")
+def z3_capabilities(t: Tables) -> DataFrame:
+    """What the sources can read, as a table."""
+    return code.capabilities(t.spark).select("suffix", "language", "support")

@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -42,6 +42,12 @@ def support(lang: Column) -> Column:
     return F.when(lang == "python", "available").when(lang.isin("typescript", "rust", "csharp"), "fallback").otherwise("unavailable")
 
 
+def capabilities(spark: SparkSession) -> DataFrame:
+    """suffix, language, support, and the kinds of relations with how sure a lexical reading of them is (null where there is none)."""
+    kinds = F.create_map(*[F.lit(x) for kind in CONFIDENCE for x in (kind, LEXICAL_CONFIDENCE.get(kind))])
+    return spark.createDataFrame(list(SUFFIX_LANGUAGES.items()), "suffix string, language string").select("suffix", "language", support(F.col("language")).alias("support"), kinds.alias("relations"))
+
+
 def classify_lines(df: DataFrame, key: list[str], content: str, patterns: list[tuple[str, str]]) -> DataFrame:
     """key, line_no, kind, name: the first pattern (kind, regex with one group) that a line matches."""
     lines = df.select(*key, F.posexplode(text.lines(F.col(content))).alias("_n", "line"))
