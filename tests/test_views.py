@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from memloom.functions import vector
 from memloom.operators import context, contracts, search, vectors, views
 from memloom.sources import snapshots
 
@@ -84,3 +85,8 @@ def test_grouped_and_union_of_sources(spark):
     assert rows(context.union_sources({"x": df, "y": df.limit(0)}, ["i"])) == [(1, "x"), (2, "x"), (4, "x"), (5, "x")]
     with pytest.raises(ValueError, match="sources_missing"):
         context.union_sources({}, ["i"])
+
+
+def test_splitmix64_gives_the_published_sequence():
+    step = 0x9E3779B97F4A7C15
+    assert [vector.splitmix64(i * step % 2**64) for i in range(3)] == [0xE220A8397B1DCDAF, 0x6E789E6AA1B965F4, 0x06C45D188009454F]
