@@ -12,7 +12,7 @@ A document's evidence is the ratio over its length, the part of it that speaks f
 of its most toxic window over the window's length; a logistic curve turns the three into a score.  (A
 bigram term above the continuation level was tried and made held-out results worse; see README.)
 
-Counts come from all labelled rows that may be learned from.  The curve is fitted on a bounded sample
+Counts come from all labelled rows that may be learned from, taken in ``ROUNDS`` by words.  The curve is fitted on a bounded sample
 (``CURVE_ROWS``) of fold 3 with counts of folds 0 and 1 alone.  The fold is crc32(doc_id as text) mod 4;
 fold 2 is never learned from.
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import release, saved
+from .common import free, release, saved
 from .decontaminate import normal
 
 CURVE_FOLD, HELD_OUT = 3, 2
 STEM, POOL, STEM_POOL, FLOOR, WINDOW = 4, 4, 8, -0.5, 24
 CURVE_ROWS, CUT = 50_000, 0.3
+#: Words are counted in so many rounds, each of the words of its hashes: a round's shuffle files go before the next one's come.
+ROUNDS = 2
 #: Text handled at once in a worker: a word takes some 150 bytes while it is scored.
 CHUNK = 2 << 20
 #: Words that are broadcast at most (16 bytes each); the others are joined.
@@ -72,8 +75,8 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return w.codes[real], np.concatenate(([0], np.cumsum(real)))[w.offsets], hashes[:, 0], hashes[:, 1]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, word before) of each chunk with the bits of who has it, and (word, stem)."""
+def _count(batches: Iterator[pa.RecordBatch], k: int = 0, rounds: int = 1) -> Iterator[pa.RecordBatch]:
+    """Distinct (word, word before) of each chunk with the bits of who has it, and (word, stem): of the words of round ``k``."""
     for batch in batches:
         for part in words.chunks(batch, "text", CHUNK):
             code, at, word, stem = _words(part.column("text"))
@@ -81,8 +84,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local = same[code] + 1
             before = np.concatenate(([0], local[:-1])) if len(code) else local
             before[at[:-1][np.diff(at) > 0]] = 0  # nothing stands before a text's first word
-            toxic = np.repeat(np.asarray(part.column("toxic"), np.int64), np.diff(at))
-            inner = np.repeat(np.asarray(part.column("fold"), np.int64) != CURVE_FOLD, np.diff(at))
+            mine = np.concatenate(([False], distinct % rounds == k))[local]
+            local, before = local[mine], before[mine]
+            toxic = np.repeat(np.asarray(part.column("toxic"), np.int64), np.diff(at))[mine]
+            inner = np.repeat(np.asarray(part.column("fold"), np.int64) != CURVE_FOLD, np.diff(at))[mine]
             key = np.unique((((local << 30) | before) << 2) | (toxic << 1) | inner)
             bits = np.where(key & 1, INNER | ANY, ANY) << ((key >> 1) & 1)
             begin = np.flatnonzero(np.concatenate(([True], key[1:] >> 2 != key[:-1] >> 2))) if len(key) else key
@@ -169,9 +174,9 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return slim.join(known, "doc_id").withColumn("fold", fold_of(F.col("doc_id")))
 
 
-def _continuations(rows: DataFrame) -> DataFrame:
-    """word, its stem, and its N(.w) by class, of the count folds (i0, i1) and of all (n0, n1)."""
-    found = rows.select("text", "toxic", "fold").mapInArrow(_count, "word long, other long, bits int").groupBy("word", "other").agg(F.bit_or("bits").alias("bits"))
+def _continuations(rows: DataFrame, k: int = 0, rounds: int = 1) -> DataFrame:
+    """word, its stem, and its N(.w) by class, of the count folds (i0, i1) and of all (n0, n1): the words of round ``k``."""
+    found = rows.select("text", "toxic", "fold").mapInArrow(partial(_count, k=k, rounds=rounds), "word long, other long, bits int").groupBy("word", "other").agg(F.bit_or("bits").alias("bits"))
     counts = [F.sum(F.when(F.col("bits").bitwiseAND(unit << c) != 0, 1).otherwise(0)).alias(f"{name}{c}") for name, unit in (("i", INNER), ("n", ANY)) for c in (0, 1)]
     return found.groupBy("word").agg(F.max(F.when(F.col("bits") >= IS_STEM, F.col("other"))).alias("stem"), *counts)
 
@@ -223,7 +228,12 @@ def _head(table: DataFrame) -> tuple[Head, Head]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = labelled(docs, labels)
-    table, stems = _ratios(saved(_continuations(rows), "continuations"))
+    counted = []
+    for k in range(ROUNDS):
+        counted.append(saved(_continuations(rows, k, ROUNDS), "continuations"))
+        release(docs.sparkSession)
+    table, stems = _ratios(reduce(DataFrame.unionByName, counted))
+    free(*counted)
     release(docs.sparkSession)
     models = [Model(head, table.selectExpr("word", f"{x}_ratio AS ratio"), stems.selectExpr("stem", f"{x}_ratio AS ratio")) for x, head in zip("ni", _head(table), strict=True)]
     sample = rows.where(F.col("fold") == CURVE_FOLD)
